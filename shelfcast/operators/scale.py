@@ -8,7 +8,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +98,12 @@ def exact_quantiles(
     value: Column,
     probabilities: dict[str, float],
     by: Sequence[str] = (),
+    level: Callable[[float, Column], Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group (or one row in all).
 
+    ``level`` may move a probability by less than two ranks depending on the number of values.
+
     A sketch of bounded size gives fences around every wanted rank. Values outside the fences only count, values
     inside keep their identity, so the second aggregation shuffles a sliver of the data and no task ever holds a
     whole group. A rank outside its fence would break the sketch's error bound and raises.
@@ -118,10 +121,9 @@ def exact_quantiles(
     sketch = F.when(few, open_fence).otherwise(F.percentile_approx("v", marks, accuracy))
     if by:
         fenced = src.join(src.groupBy(*by).agg(sketch.alias("f")), by)
-        fence = F.col("f")
     else:
-        fenced = src
-        fence = scalars(src, f=sketch)["f"]
+        fenced = src.withColumn("f", scalars(src, f=sketch)["f"])
+    fence = F.col("f")
 
     inside, below = F.lit(False), []
     for i in range(len(probs)):
@@ -147,16 +149,20 @@ def exact_quantiles(
         hit = (rank > first) & (rank <= F.col("last"))
         return F.max(F.when(hit & (F.col("gap") == 0), F.col("at")))
 
+    def spot_of(p: float) -> Column:
+        exact = F.lit(float(p)) if level is None else level(p, F.col("total").cast("double"))
+        return (F.col("total") - 1) * exact
+
     picks = []
     for name, p in probs:
-        spot = (F.col("total") - 1) * F.lit(float(p))
+        spot = spot_of(p)
         low = F.floor(spot) + 1
         high = F.least(low + 1, F.col("total"))
         picks += [at_rank(low).alias(f"lo_{name}"), at_rank(high).alias(f"hi_{name}")]
     got = placed.groupBy(*by).agg(F.max("total").alias("total"), *picks)
     out = []
     for name, p in probs:
-        spot = (F.col("total") - 1) * F.lit(float(p))
+        spot = spot_of(p)
         lo, hi = F.col(f"lo_{name}"), F.col(f"hi_{name}")
         missed = (F.col("total") > 0) & (lo.isNull() | hi.isNull())
         result = lo + (spot - F.floor(spot)) * (hi - lo)
@@ -164,11 +170,16 @@ def exact_quantiles(
     return got.select(*by, *out)
 
 
+def quantile_row(df: DataFrame, value: Column, probabilities: dict[str, float]) -> Column:
+    """Exact quantiles of a whole column as one struct value, usable on any frame."""
+    row = exact_quantiles(df, value, probabilities)
+    return row.agg(F.struct(*[F.max(n).alias(n) for n in probabilities]).alias("row")).scalar()
+
+
 def global_quantiles(df: DataFrame, value: Column, probabilities: dict[str, float]) -> dict[str, Column]:
     """Exact quantiles of a whole column, usable as columns on any frame."""
-    row = exact_quantiles(df, value, probabilities)
-    one = row.agg(F.struct(*[F.max(n).alias(n) for n in probabilities]).alias("row")).scalar()
-    return {n: one.getField(n) for n in probabilities}
+    row = quantile_row(df, value, probabilities)
+    return {n: row.getField(n) for n in probabilities}
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -73,9 +73,9 @@ def _(spark, folder):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("inventory_enriched", sql(ENRICHED, f"SELECT Product_ID, {rsql('DSI', 'Stock_Coverage_Ratio', 'Demand_Intensity')} FROM enriched"))
+@register("inventory_enriched", sql(ENRICHED, f"SELECT Product_ID, {rsql('DSI', 'Stock_Coverage_Ratio', 'Demand_Intensity', digits=6)} FROM enriched"))
 def _(spark, folder):
-    return rounded(base.enriched(spark, folder), ["Product_ID"], **same("DSI", "Stock_Coverage_Ratio", "Demand_Intensity"))
+    return rounded(base.enriched(spark, folder), ["Product_ID"], 6, **same("DSI", "Stock_Coverage_Ratio", "Demand_Intensity"))
 
 
 @register("supply_risk", sql(HEALTH, f"SELECT Product_ID, {rsql('Supply_Risk_Score')} FROM health"))
@@ -237,10 +237,10 @@ def _(spark, folder):
 @register("vendor_five_numbers", sql(CLEAN, """,
 o AS (SELECT Vendor_Name, Inventory_Value AS v, row_number() OVER (PARTITION BY Vendor_Name ORDER BY Inventory_Value) - 1 AS i,
   count(*) OVER (PARTITION BY Vendor_Name) AS n FROM clean WHERE Vendor_Name IS NOT NULL AND Inventory_Value IS NOT NULL)
-SELECT Vendor_Name, round(min(v), 2) AS low, round(max(v) FILTER (i = floor(n * 0.25)), 2) AS q1, round(max(v) FILTER (i = floor(n * 0.5)), 2) AS median,
-  round(max(v) FILTER (i = floor(n * 0.75)), 2) AS q3, round(max(v), 2) AS high, round(avg(v), 2) AS mean FROM o GROUP BY 1"""))
+SELECT Vendor_Name, round(min(v), 4) AS low, round(max(v) FILTER (i = floor(n * 0.25)), 4) AS q1, round(max(v) FILTER (i = floor(n * 0.5)), 4) AS median,
+  round(max(v) FILTER (i = floor(n * 0.75)), 4) AS q3, round(max(v), 4) AS high, round(avg(v), 4) AS mean FROM o GROUP BY 1"""))
 def _(spark, folder):
-    return rounded(stats.five_numbers(base.clean(spark, folder), "Vendor_Name", "Inventory_Value"), ["Vendor_Name"], 2,
+    return rounded(stats.five_numbers(base.clean(spark, folder), "Vendor_Name", "Inventory_Value"), ["Vendor_Name"], 4,
                    **same("low", "q1", "median", "q3", "high", "mean"))
 
 

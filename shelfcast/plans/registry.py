@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfcast.plans import inventory
+from shelfcast.plans import demand, inventory, planning, statistics
 from shelfcast.plans.base import Query
 
-MODULES = (inventory,)
+MODULES = (inventory, statistics, demand, planning)
 
 
 def queries() -> dict[str, Query]:

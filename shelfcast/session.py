@@ -22,7 +22,8 @@ def build_session(app: str = "shelfcast", master: str | None = None, shuffle_par
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        builder = builder.master(master)
+        # A local session has one process, so its heap is the driver's; a cluster sets its own.
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("SHELFCAST_LOCAL_MEMORY", "12g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -120,7 +120,7 @@ def future_drivers(facts: DataFrame) -> DataFrame:
     """Known-ahead drivers: promotion flag, holiday flag and a seasonal temperature proxy."""
     return facts.select(
         "unique_id", "ds",
-        (F.col("discount") > 0.05).cast("int").alias("promo_flag"),
+        (F.round("discount", 6) > 0.05).cast("int").alias("promo_flag"),
         retail_holiday(F.col("ds")).alias("is_holiday"),
         (15.0 + 10.0 * F.sin(2 * F.lit(3.141592653589793) * F.dayofyear("ds") / 365.0)).alias("temperature"),
     )
