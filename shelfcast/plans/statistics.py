@@ -42,7 +42,7 @@ def _(spark, folder):
 
 
 @register("correlation_matrix", sql(COMPLETE, " UNION ALL ".join(
-    f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", " + ("1.0::DOUBLE" if a == b else f"round(coalesce(corr({a}, {b}), 0), 6) + 0.0") + " AS r FROM whole" for a in COLS for b in COLS)))
+    f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", " + ("max(1.0::DOUBLE)" if a == b else f"round(coalesce(corr({a}, {b}), 0), 6) + 0.0") + " AS r FROM whole" for a in COLS for b in COLS)))
 def _(spark, folder):
     return show(stats.correlation_matrix(base.classified(spark, folder)), "left", "right", digits=6, **num("r"))
 
