@@ -32,9 +32,16 @@ def kmeans_labels(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="features").fit(points).transform(points)
 
 
-def hierarchical_labels(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Top-down hierarchy (bisecting k-means)."""
-    return BisectingKMeans(k=k, seed=seed, featuresCol="features").fit(points).transform(points)
+def hierarchical_labels(points: DataFrame, k: int, seed: int = 42, tries: int = 5) -> DataFrame:
+    """Top-down hierarchy (bisecting k-means). An unlucky start can fail to split, so up to ``tries`` seeds are used."""
+    best = None
+    for s in range(seed, seed + tries):
+        model = BisectingKMeans(k=k, seed=s, maxIter=20, featuresCol="features").fit(points)
+        if best is None or len(model.clusterCenters()) > len(best.clusterCenters()):
+            best = model
+        if len(best.clusterCenters()) == k:
+            break
+    return best.transform(points)
 
 
 def status_by_cluster(labelled: DataFrame) -> DataFrame:

@@ -70,15 +70,13 @@ def sku_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 RAW = """
 daily AS (
-  SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS qty,
-         max(row(l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS latest
-  FROM lineitem GROUP BY 1, 2),
+  SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
 sales AS (
   SELECT l_partkey, sum(qty) / count(day) AS per_day FROM daily GROUP BY 1),
 last_sale AS (
   SELECT l_partkey, l_suppkey FROM (
     SELECT l_partkey, l_suppkey, row_number() OVER (
-      PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS rn
+      PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC, l_suppkey DESC) AS rn
     FROM lineitem) WHERE rn = 1),
 raw AS (
   SELECT p_partkey AS part_key,

@@ -571,3 +571,26 @@ def _(spark, folder):
         rolled.select("unique_id", "ds", "y"), hierarchy.reconcile(forecasts, static, "bottom_up"), hierarchy.reconcile(forecasts, static)
     )
     return show(out, "target_met", **num("mape_bottom_up", "mape_least_squares", "improvement_pct"))
+
+
+@register("warehouse_error_slices", sql(NODES, """, e AS (SELECT s.warehouse, v AS y, y_hat FROM rolled JOIN bf USING (level, unique_id, ds) JOIN s USING (unique_id) WHERE level = 'sku')
+SELECT warehouse, count(*) AS n, round(avg(abs((y - y_hat) / y)) FILTER (y > 0) * 100, 4) AS mape, round(sqrt(avg((y - y_hat) * (y - y_hat))), 4) AS rmse, round(avg(abs(y - y_hat)), 4) AS mae FROM e GROUP BY 1"""))
+def _(spark, folder):
+    forecasts, rolled = base_forecasts(spark, folder)
+    errors = rolled.join(forecasts, ["level", "unique_id", "ds"]).where("level = 'sku'").join(
+        feeds.static_of(base.sku_facts(spark, folder)), "unique_id"
+    )
+    return show(evaluation.error_slices(errors, F.col("warehouse"), "warehouse"), "warehouse", "n", **num("mape", "rmse", "mae"))
+
+
+@register("history_error_slices", sql(CV, """, h AS (SELECT fold, unique_id, count(*) AS days FROM y JOIN folds ON ds <= train_end GROUP BY 1, 2)
+SELECT CASE WHEN days < 1000 THEN 'short' ELSE 'long' END AS history, count(*) AS n, round(avg(abs((y - y_hat) / y)) FILTER (y > 0) * 100, 4) AS mape,
+  round(avg(abs(y - y_hat)), 4) AS mae FROM err JOIN h USING (fold, unique_id) GROUP BY 1"""))
+def _(spark, folder):
+    y = base.brand_demand(spark, folder)
+    fold_table = evaluation.folds(y)
+    train, _ = evaluation.split(y, fold_table)
+    lengths = features.series_profile(train, ["fold", "unique_id"])
+    errors = evaluation.walk_forward_errors(y, closed_form.naive, fold_table).join(lengths, ["fold", "unique_id"])
+    out = evaluation.error_slices(errors, F.when(F.col("n_days") < 1000, "short").otherwise("long"), "history")
+    return show(out, "history", "n", **num("mape", "mae"))

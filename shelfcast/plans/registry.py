@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfcast.plans import demand, inventory, learning, planning, statistics
+from shelfcast.plans import demand, inventory, learning, planning, statistics, streaming
 from shelfcast.plans.base import Query
 
-MODULES = (inventory, statistics, demand, planning, learning)
+MODULES = (inventory, statistics, demand, planning, learning, streaming)
 
 
 def queries() -> dict[str, Query]:

@@ -25,11 +25,11 @@ def raw_inventory(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     daily = lines.groupBy("l_partkey", ship_day(F.col("l_shipdate")).alias("day")).agg(
         F.sum("l_quantity").alias("qty"),
-        F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("latest"),
+        F.max("l_suppkey").alias("suppkey"),
     )
     sales = daily.groupBy("l_partkey").agg(
         (F.sum("qty") / F.count("day")).alias("per_day"),
-        F.max("latest").getField("l_suppkey").alias("suppkey"),
+        F.max_by("suppkey", "day").alias("suppkey"),  # the supplier of the last day
     )
     vendors = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_name")
     parts = table(spark, folder, "part").join(sales, F.col("p_partkey") == F.col("l_partkey"), "left")
@@ -141,21 +141,17 @@ def calendar_spine(demand: DataFrame) -> DataFrame:
     return days.join(demand, ["unique_id", "ds"], "left").select("unique_id", "ds", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def demand_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """External demand signals from the event log; the day number counts from the first event day."""
-    events = table(spark, folder, "events")
+def signal_columns(events: DataFrame) -> DataFrame:
+    """Event log as demand signals, without a day number; works on tables and on streams."""
     source = (
         F.when(F.col("event_type") == "purchase", "pos")
         .when(F.col("event_type") == "click", "social")
         .when(F.col("event_type") == "view", "weather")
         .otherwise(F.col("event_type"))
     )
-    first = events.agg(F.to_date(F.min("ts"))).scalar()
-    day = F.date_diff(F.to_date("ts"), first)
     return events.select(
         "event_id",
         source.alias("source"),
-        F.when(F.col("event_id") % 97 == 0, "unknown").otherwise(F.concat(F.lit("day_"), day.cast("string"))).alias("timestamp"),
         F.concat(F.lit("SKU-"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("product_id"),
         F.col("value").alias("signal_value"),
         (0.6 + (F.col("event_id") % 41) / 100.0).alias("confidence"),
@@ -163,9 +159,16 @@ def demand_signals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit events: who called what, with which status and how long it took."""
+def demand_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """External demand signals from the event log; the day number counts from the first event day."""
     events = table(spark, folder, "events")
+    first = events.agg(F.to_date(F.min("ts"))).scalar()
+    day = F.concat(F.lit("day_"), F.date_diff(F.to_date("ts"), first).cast("string"))
+    return signal_columns(events).withColumn("timestamp", F.when(F.col("event_id") % 97 == 0, "unknown").otherwise(day))
+
+
+def log_columns(events: DataFrame) -> DataFrame:
+    """Event log as audit events: who called what, with which status and how long it took."""
     kind = F.col("event_type")
     status = (
         F.when((kind == "error") & (F.col("event_id") % 3 == 0), 503)
@@ -184,6 +187,10 @@ def request_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def request_log(spark: SparkSession, folder: str) -> DataFrame:
+    return log_columns(table(spark, folder, "events"))
+
+
 def stage_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Run table: one batch per order."""
     orders = table(spark, folder, "orders")
