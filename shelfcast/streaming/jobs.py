@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from shelfcast import constants as K
 from shelfcast.functions.numeric import hits
-from shelfcast.operators.etl import clean_inventory, feed_counters, prepare
+from shelfcast.operators.etl import CLEAN_COLUMNS, feed_counters, prepare
 from shelfcast.operators.features import upsert_features
 from shelfcast.sources.files import RAW_SCHEMA
 
@@ -49,20 +49,18 @@ def ingest_files(stream: DataFrame, table: str, progress: str, checkpoint: str,
     """Clean every batch of files, store it under its batch id, and append progress rows."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
+        if batch.limit(1).count() == 0:
+            return
+        prepared = prepare(batch).persist()
         try:
-            if batch.limit(1).count() == 0:
-                return
-            steps = [("etl", "running"), ("etl", "completed")]
-            clean = clean_inventory(batch).withColumn("ingested_at", F.current_timestamp())
+            clean = prepared.select(*CLEAN_COLUMNS, F.current_timestamp().alias("ingested_at"))
             write_batch(clean, epoch, table, "batch_id")
-            counters = feed_counters(prepare(batch)).select(F.to_json(F.struct("*")).alias("detail"))
-            rows = counters.select(
-                F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(st).alias("status")) for s, st in steps])).alias("s"), "detail"
-            ).select("s.stage", "s.status", F.when(F.col("s.status") == "completed", F.col("detail")).alias("detail"), F.current_timestamp().alias("at"))
-            write_batch(rows, epoch, progress, "batch_id")
+            steps = F.array(*[F.struct(F.lit("etl").alias("stage"), F.lit(s).alias("status")) for s in ("running", "completed")])
+            rows = feed_counters(prepared).select(F.to_json(F.struct("*")).alias("detail")).select(F.explode(steps).alias("s"), "detail")
+            rows = rows.select("s.stage", "s.status", F.when(F.col("s.status") == "completed", F.col("detail")).alias("detail"))
+            write_batch(rows.withColumn("at", F.current_timestamp()), epoch, progress, "batch_id")
         finally:
-            batch.unpersist()
+            prepared.unpersist()
 
     return start(stream, handle, checkpoint, once)
 

@@ -1,10 +1,10 @@
 """Streaming jobs: restarts neither lose nor repeat rows, and state survives between batches."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
-from shelfcast.plans.streaming import keyed
 from shelfcast.sources.files import write_csv
 from shelfcast.streaming import jobs
 
@@ -47,12 +47,23 @@ def test_feature_store_keeps_newest(spark, tmp_path):
     assert len(rows) == 1 and rows[0].y == 3.0
 
 
-def test_latest_value_with_expiry(spark):
+def test_latest_value_with_expiry(spark, tmp_path):
+    """State with a time to live keeps the query running, so it is stopped once its result is there."""
     df = spark.createDataFrame([("a", dt.datetime(2024, 1, d), float(d)) for d in (1, 5, 3)], "unique_id string, ds timestamp, y double")
-    from shelfcast.plans.streaming import stream_files
-
-    out = keyed(spark, lambda: jobs.latest_values(stream_files(spark, df.coalesce(1), "t"), ttl_ms=3_600_000), "latest-ttl", "update")
-    assert max(r.y for r in out.collect()) == 5.0
+    source, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    df.coalesce(1).write.parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    try:
+        stream = jobs.latest_values(spark.readStream.schema(df.schema).parquet(source), ttl_ms=3_600_000)
+        query = jobs.start(stream, lambda batch, epoch: jobs.write_batch(batch, epoch, out), ckpt, False, "update")
+        for _ in range(120):
+            if (tmp_path / "out" / "epoch=0" / "_SUCCESS").exists():
+                break
+            time.sleep(0.5)
+        query.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [r.y for r in spark.read.schema(df.schema).parquet(f"{out}/epoch=0").collect()] == [5.0]
 
 
 def test_drift_rate_windows(spark, tmp_path):
