@@ -22,7 +22,7 @@ def test_nearest_equals_brute_force(cloud):
     x, _, df = cloud
     train, queries = df.where("Product_ID < 'p0500'"), df.where("Product_ID >= 'p0500'")
     got = {}
-    for r in neighbours.nearest(train, queries, k=7, pivots=5, salts=3).collect():
+    for r in neighbours.nearest(train, queries, k=7, pivots=5, block=40).collect():
         got.setdefault(r["query"], []).append((r.distance, r.neighbour))
     assert len(got) == len(x) - 500
     for q, found in got.items():
