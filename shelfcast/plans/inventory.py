@@ -238,10 +238,10 @@ def _(spark, folder):
 o AS (SELECT Vendor_Name, Inventory_Value AS v, row_number() OVER (PARTITION BY Vendor_Name ORDER BY Inventory_Value) - 1 AS i,
   count(*) OVER (PARTITION BY Vendor_Name) AS n FROM clean WHERE Vendor_Name IS NOT NULL AND Inventory_Value IS NOT NULL)
 SELECT Vendor_Name, round(min(v), 4) AS low, round(max(v) FILTER (i = floor(n * 0.25)), 4) AS q1, round(max(v) FILTER (i = floor(n * 0.5)), 4) AS median,
-  round(max(v) FILTER (i = floor(n * 0.75)), 4) AS q3, round(max(v), 4) AS high, round(avg(v), 4) AS mean FROM o GROUP BY 1"""))
+  round(max(v) FILTER (i = floor(n * 0.75)), 4) AS q3, round(max(v), 4) AS high, round(avg(v), 6) AS mean FROM o GROUP BY 1"""))
 def _(spark, folder):
-    return rounded(stats.five_numbers(base.clean(spark, folder), "Vendor_Name", "Inventory_Value"), ["Vendor_Name"], 4,
-                   **same("low", "q1", "median", "q3", "high", "mean"))
+    out = stats.five_numbers(base.clean(spark, folder), "Vendor_Name", "Inventory_Value")
+    return rounded(out, ["Vendor_Name", F.round("mean", 6).alias("mean")], **same("low", "q1", "median", "q3", "high"))
 
 
 @register("category_quantiles", sql(CLEAN, """SELECT Category, round(quantile_cont(Unit_Cost, 0.25), 4) AS q1, round(quantile_cont(Unit_Cost, 0.5), 4) AS median,

@@ -68,11 +68,11 @@ LONG = HEALTH + ", long AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS metric, {c} AS v FROM health WHERE {c} IS NOT NULL" + (" AND DSI < 999" if c == "DSI" else "") for c in stats.SUMMARY_COLUMNS) + ")"
 
 
-@register("distribution_summary", sql(LONG, """SELECT metric, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(skewness(v), 6) + 0.0 AS skew, round(kurtosis(v), 6) + 0.0 AS kurt,
+@register("distribution_summary", sql(LONG, """SELECT metric, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(skewness(v), 6) + 0.0 AS skew, round(kurtosis(v), 6) + 0.0 AS kurt,
 round(count(*) / 6.0 * (power(skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 2) + power(kurtosis_pop(v), 2) / 4), 2) AS jarque_bera FROM long GROUP BY 1"""))
 def _(spark, folder):
     out = stats.distribution_summary(base.classified(spark, folder))
-    return out.select("metric", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), (F.round("skew", 6) + 0.0).alias("skew"),
+    return out.select("metric", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), (F.round("skew", 6) + 0.0).alias("skew"),
                       (F.round("kurt", 6) + 0.0).alias("kurt"), F.round("jarque_bera", 2).alias("jarque_bera"))
 
 
