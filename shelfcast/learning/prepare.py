@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.numeric import hash_fraction
 from shelfcast.operators.inventory import enrich_base
+from shelfcast.operators.scale import running_totals
 
 # Feature lists. The classifier must not see columns that define the stock status.
 CLASSIFICATION_FEATURES = (
@@ -22,13 +23,19 @@ ENCODED = {"Category": "Category_Enc", "Vendor_Name": "Vendor_Enc", "Stock_Statu
 
 
 def encode(clean: DataFrame, columns: dict[str, str] = ENCODED) -> DataFrame:
-    """Base columns plus text columns numbered in alphabetical order; a missing text is its own value."""
-    base = enrich_base(clean)
-    filled = base.select("*", *[F.coalesce(c, F.lit("nan")).alias(f"{e}_text") for c, e in columns.items()])
-    indexer = StringIndexer(
-        inputCols=[f"{e}_text" for e in columns.values()], outputCols=list(columns.values()), stringOrderType="alphabetAsc"
-    )
-    return indexer.fit(filled).transform(filled).drop(*[f"{e}_text" for e in columns.values()])
+    """Base columns plus text columns numbered in alphabetical order; a missing text is its own value.
+
+    Numbers come from a distributed running count over the distinct texts, so a column with very many names (vendors)
+    never passes through the driver.
+    """
+    out = enrich_base(clean)
+    for source, target in columns.items():
+        text = F.coalesce(source, F.lit("nan"))
+        names = clean.select(text.alias("__text")).distinct()
+        numbers = running_totals(names, [F.col("__text")], {"__n": F.lit(1)})
+        numbers = numbers.select("__text", (F.col("__n") - 1).cast("double").alias(target))
+        out = out.withColumn("__text", text).join(numbers, "__text", "left").drop("__text")
+    return out
 
 
 def frame(encoded: DataFrame, features: Sequence[str], label: str) -> DataFrame:
