@@ -265,7 +265,11 @@ DAILY_CAP = 130.0
 def warehouse_weeks(spark, folder):
     per_day = base.sku_facts(spark, folder).groupBy("warehouse", "ds").agg(F.sum("y").alias("demand"))
     weeks = capacity.weekly_buckets(per_day).groupBy("warehouse", "period").agg(F.sum("demand").alias("demand"))
-    return weeks.withColumn("period", F.expr("cast(substr(period, 2) as int)"))
+    weeks = weeks.withColumn("period", F.expr("cast(substr(period, 2) as int)"))
+    # Weeks without sales have zero demand; supply arrives in them all the same.
+    last = weeks.agg(F.max("period")).scalar()
+    grid = weeks.select("warehouse").distinct().select("warehouse", F.explode(F.sequence(F.lit(1), last)).alias("period"))
+    return grid.join(weeks, ["warehouse", "period"], "left").fillna(0.0, ["demand"])
 
 
 def simulated(spark, folder, mode):
@@ -275,7 +279,9 @@ def simulated(spark, folder, mode):
 def sop_sql(factor):
     return SKU + f""",
 first AS (SELECT min(ds) AS d FROM facts),
-wk AS (SELECT warehouse, (floor((ds - d) / 7) + 1)::INTEGER AS period, sum(y) AS demand FROM facts, first GROUP BY 1, 2),
+wk0 AS (SELECT warehouse, (floor((ds - d) / 7) + 1)::INTEGER AS period, sum(y) AS demand FROM facts, first GROUP BY 1, 2),
+wk AS (SELECT w.warehouse, p.period, coalesce(wk0.demand, 0) AS demand FROM (SELECT DISTINCT warehouse FROM facts) w
+  CROSS JOIN (SELECT unnest(range(1, (SELECT max(period) + 1 FROM wk0)))::INTEGER AS period) p LEFT JOIN wk0 ON wk0.warehouse = w.warehouse AND wk0.period = p.period),
 sc AS (SELECT * FROM (VALUES ('baseline', 1.0::DOUBLE, 1.0::DOUBLE, 0.95::DOUBLE), ('optimistic', 1.2, 1.1, 0.98), ('conservative', 0.85, 0.95, 0.90)) v(scenario, dm, cm, rel)),
 inp AS (SELECT scenario, warehouse, period, demand * dm AS demand, {DAILY_CAP} * 7 * cm AS capacity, {DAILY_CAP} * 7 * cm * ({factor}) AS supply FROM wk, sc WHERE period <= 12),
 steps(scenario, warehouse, period, demand, capacity, fulfilled, inventory) AS (
