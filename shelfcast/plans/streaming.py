@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,24 +55,42 @@ def streamed_signals(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.signal_columns(stream_table(spark, folder, "events"))
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the start of a stream, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_settings(spark: SparkSession, keyed_state: bool = False) -> dict[str, str]:
+    """One state partition per core at most: each one is a store of its own (and a Python worker for keyed state)."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = {"spark.sql.shuffle.partitions": str(min(parts, max(8, spark.sparkContext.defaultParallelism)))}
+    if keyed_state:
+        out["spark.sql.streaming.stateStore.providerClass"] = jobs.STATE_STORE
+    return out
+
+
 def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     out = scratch(spark, name)
-    jobs.to_table(stream, out, scratch(spark, f"{name}-ckpt"), mode).awaitTermination()
+    with settings(spark, **state_settings(spark)):
+        jobs.to_table(stream, out, scratch(spark, f"{name}-ckpt"), mode).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def keyed(spark: SparkSession, stream_of, name: str, mode: str = "append") -> DataFrame:
     """Drain a keyed-state job; it needs the RocksDB store."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, jobs.STATE_STORE)
-    try:
+    with settings(spark, **state_settings(spark, keyed_state=True)):
         stream = stream_of()
         out, ckpt = scratch(spark, name), scratch(spark, f"{name}-ckpt")
         jobs.start(stream, lambda df, epoch: jobs.write_batch(df, epoch, out), ckpt, True, mode).awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{out}/epoch=*")
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 @register("stream_request_metrics", sql(LOG, f"""SELECT {stamp_sql('slot')}, requests, errors, round(errors / requests, 6) AS error_rate FROM hw
