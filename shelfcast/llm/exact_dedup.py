@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from shelfcast.llm.common import text_of, without_spaces
 from shelfcast.session import pin, shared_folder
 
-#: State lives in RocksDB on the executors' disks, with changes logged to the shared folder, and never expires.
+#: State lives in RocksDB on the executors' disks, with changes logged to the shared folder, and never expires. Disk is
+#: not reserved ahead, which would cost some MB for each of many small partitions.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
