@@ -28,6 +28,37 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfcast.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfcast.llm.toxicity import score_documents
+
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfcast.llm.pii import find_personal
+
+    return find_personal(table(spark, folder, "documents"))
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfcast.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, folder, "documents"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfcast.llm.quality import judge
+
+    return judge(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from shelfcast.llm.tokens import length_histogram
 
@@ -40,6 +71,13 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicate(spark, f"{folder}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfcast.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.col("kept_text").alias("text"))
+
+
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     from shelfcast.llm.packing import pack
 
@@ -48,8 +86,14 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
+    "op4_personal_data": op4_personal_data,
+    "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_pack": op10_pack,
 }
 
@@ -78,5 +122,17 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 WITH n AS (SELECT doc_id, length(COALESCE(text, '')) AS size, regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
 g AS (SELECT *, FIRST_VALUE(doc_id) OVER (PARTITION BY t ORDER BY size DESC, doc_id) AS keep_id, COUNT(*) OVER (PARTITION BY t) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+""",
+    "op9_line_dedup": rf"""
+WITH d AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, UNNEST(range(1, len(ls) + 1)) AS line, UNNEST(ls) AS raw FROM d),
+l AS (SELECT *, regexp_extract_all(raw, '{_WORD}') AS w, ROW_NUMBER() OVER (ORDER BY doc_id, line) AS pos FROM x),
+u AS (SELECT w, len(w) AS n, MIN(pos) AS pos FROM l WHERE len(w) > 0 GROUP BY w),
+p AS (SELECT pos, w, n, UNNEST(range(0, n + 1)) AS i FROM u WHERE n >= 8),
+v AS (SELECT pos, i, CASE WHEN i = 0 THEN w ELSE list_concat(w[1:i - 1], w[i + 1:]) END AS v FROM p),
+near AS (SELECT DISTINCT b.pos FROM v a JOIN v b ON a.v = b.v AND a.pos < b.pos AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+f AS (SELECT l.*, len(w) > 0 AND (pos NOT IN (SELECT pos FROM u) OR pos IN (SELECT pos FROM near)) AS gone FROM l)
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE gone) AS n_dropped,
+  COALESCE(string_agg(raw, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text FROM f GROUP BY doc_id
 """,
 }
