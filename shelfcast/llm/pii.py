@@ -106,8 +106,8 @@ def context(text: Column, start: Column, end: Column) -> Column:
     two = F.regexp_extract(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     right = F.regexp_extract(F.lower(F.substring(text, end + 1, F.lit(32))), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
     names = F.array(
-        F.when(one != "", F.concat(F.lit("1 "), one)), F.when(two != "", F.concat(F.lit("2 "), two)),
-        F.when((one != "") & (right != ""), F.concat(F.lit("3 "), one, F.lit(" _ "), right)),
+        F.when(one != "", F.concat(F.lit("a "), one)), F.when(two != "", F.concat(F.lit("b "), two)),
+        F.when((one != "") & (right != ""), F.concat(F.lit("c "), one, F.lit(" _ "), right)),
     )
     return F.filter(F.transform(names, lambda p: F.regexp_replace(p, "[0-9]+", "0")), lambda p: p.isNotNull())
 

@@ -119,12 +119,13 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
 def discoveries(counts: dict[tuple[int, bool], int], rate: float) -> list[int]:
     """Cells whose candidates are declared secrets at a false-discovery rate of at most ``rate``.
 
-    A candidate's p-value is the share of natural tokens of its own length band that look at least as random, so short
-    tokens, on which the tests have little power, need more. Step-up control runs over the bounded table of cells.
+    A candidate's p-value is the share of natural tokens that look at least as random, among those of its own length band
+    and shorter ones. The tests gain power with length, so shorter tokens make that share too large, never too small,
+    and short candidates have to do better than long ones. Step-up control runs over the bounded table of cells.
     """
-    cells = []
+    cells, plain = [], [0] * BINS
     for band in range(BANDS):
-        plain = [counts.get((band * BINS + i, True), 0) for i in range(BINS)]
+        plain = [n + counts.get((band * BINS + i, True), 0) for i, n in enumerate(plain)]
         total, above = sum(plain), 0
         for i in reversed(range(BINS)):
             above += plain[i]
@@ -146,8 +147,8 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
-    Fixed patterns always stay. Other long tokens go through ``battery``; natural words of the whole corpus calibrate it per
-    length band and candidates pass at a false-discovery rate of ``rate``. The counts that decide are a table of
+    Fixed patterns always stay. Other long tokens go through ``battery``; natural words of the whole corpus calibrate it by
+    length and candidates pass at a false-discovery rate of ``rate``. The counts that decide are a table of
     at most 24 length bands by 60 bins by 2, whatever the corpus.
 
     Null and empty texts have no spans. Null ids stay null, repeated rows are scanned each, an empty table gives no rows

@@ -60,9 +60,9 @@ def test_contexts_find_unknown_identifiers(spark):
     rng = random.Random(11)
     rows = [(i, f"{prose(rng, 8)} reach me at +1 (212) 555-{1000 + i} {prose(rng, 5)}", "a") for i in range(30)]
     rows += [(100 + i, f"{prose(rng, 8)} version 20{10 + i}x4471 {prose(rng, 5)}", "a") for i in range(30)]
-    rows += [(200, "please reach me at 555x7788x99. soon", "a"), (201, "part number 555x7788x98 here", "a")]
-    got = {r["doc_id"]: r for r in pii.find_personal(frame(spark, rows + awkward()[-14:-2])).collect()}
-    assert got[200]["spans"] == "phone:19:30" and got[201]["spans"] == ""
+    rows += [(900, "please reach me at 555x7788x99. soon", "a"), (901, "part number 555x7788x98 here", "a")]
+    got = {r["doc_id"]: r for r in pii.find_personal(frame(spark, rows)).collect()}
+    assert got[900]["spans"] == "phone:19:30" and got[901]["spans"] == ""
     assert all(got[100 + i]["spans"] == "" for i in range(30))
     for i, t, _ in rows:
         check(got[i], t)
