@@ -65,80 +65,87 @@ def measured(docs: DataFrame) -> DataFrame:
     return source.mapInPandas(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def vote(bad: Column, good: Column) -> Column:
-    """-1 for bad, 1 for good, 0 to abstain."""
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+def rules() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Rules over ``MEASURES`` that vote bad, and rules that vote good, where they hold; elsewhere they abstain.
 
-
-def rules() -> dict[str, Column]:
-    """The voting rules over ``MEASURES``; thresholds leave a band in which a rule abstains."""
+    A rule against a document looks at one trait. A rule for it asks for several ordinary traits at once, so that
+    different kinds of junk have in common what they lack.
+    """
     c = {m: F.col(m).cast("double") for m in MEASURES}
     words, letters = F.greatest(c["n_words"], F.lit(1.0)), F.greatest(c["n_letters"], F.lit(1.0))
     mean, share = c["word_chars"] / words, c["n_repeat_words"] / words
     symbols, shouts, upper = c["n_symbols"] / words, c["n_shouts"] / words, c["n_upper"] / letters
     alphabetic, lines = c["n_letters"] / F.greatest(c["word_chars"], F.lit(1.0)), c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1.0))
     variety = c["n_distinct"] / words
-    return {
-        "length": vote(c["n_words"] < 5, c["n_words"] >= 20),
-        "word_length": vote((mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
-        "symbols": vote(symbols > 0.2, symbols < 0.05),
-        "repeats": vote(share > 0.3, share < 0.1),
-        "lines": vote(lines > 0.3, lines < 0.1),
-        "capitals": vote(upper > 0.5, upper < 0.3),
-        "shouting": vote(shouts > 0.2, shouts < 0.05),
-        "letters": vote(alphabetic < 0.6, alphabetic > 0.75),
-        "variety": vote((variety < 0.15) & (c["n_words"] >= 20), (variety > 0.3) | (c["n_words"] < 20)),
+    bad = {
+        "short": c["n_words"] < 5,
+        "word_length": (mean < 2) | (mean > 15),
+        "symbols": symbols > 0.2,
+        "repeats": share > 0.3,
+        "lines": lines > 0.5,
+        "capitals": upper > 0.5,
+        "shouting": shouts > 0.2,
+        "letters": alphabetic < 0.4,
+        "variety": (variety < 0.15) & (c["n_words"] >= 20),
+    }
+    calm = (symbols < 0.1) & (shouts < 0.1)
+    good = {
+        "prose": calm & (alphabetic > 0.5) & (upper < 0.3) & (mean >= 3) & (mean <= 12),
+        "flow": calm & (variety > 0.35) & (share < 0.1) & (lines < 0.1) & (c["n_words"] >= 10),
+        "size": c["n_words"] >= 50,
     }
+    return bad, good
 
 
-def estimate(votes: np.ndarray, weight: np.ndarray, rounds: int = 200, prior: float = 0.8) -> tuple[float, np.ndarray]:
-    """Log odds of quality: a constant, and for every rule the log odds that each vote (-1, 0, 1) adds.
+def estimate(fired: np.ndarray, weight: np.ndarray, against: np.ndarray, rounds: int = 1000) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log odds of quality: a constant, what each rule adds where it votes, and where it abstains.
 
-    ``votes`` holds the distinct vote rows, ``weight`` how often each occurs. Expectation-maximisation starts from the
-    votes' balance; a rule's three outcomes get one probability per class, with one pseudo count each.
+    ``fired`` holds the distinct rows of votes (1 or 0), ``weight`` how often each occurs, ``against`` which rules vote
+    bad. Expectation-maximisation starts from the balance of votes and estimates how often each rule votes in either
+    class, with one pseudo document that votes and one that abstains; a vote never counts for the opposite of what it
+    says.
     """
-    if not len(votes):
-        return math.log(prior / (1 - prior)), np.zeros((votes.shape[1], 3))
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    against, towards = (votes < 0).sum(axis=1), (votes > 0).sum(axis=1)
-    good = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + 1.5 * (np.minimum(towards, 3) - 3 * against))))
-    constant, table = 0.0, np.zeros((votes.shape[1], 3))
+    rules = len(against)
+    if not len(fired):
+        return 0.0, np.zeros(rules), np.zeros(rules)
+    balance = fired[:, ~against].sum(axis=1) - 3.0 * fired[:, against].sum(axis=1)
+    good, constant, votes, silent = 1 / (1 + np.exp(-(1 + balance))), 0.0, np.zeros(rules), np.zeros(rules)
     for _ in range(rounds):
-        mass = [weight * good, weight * (1 - good)]
-        table = np.log(np.tensordot(mass[0], onehot, 1) + 1) - np.log(mass[0].sum() + 3)
-        table -= np.log(np.tensordot(mass[1], onehot, 1) + 1) - np.log(mass[1].sum() + 3)
-        # A vote never speaks against what it says.
-        table[:, 0], table[:, 2] = np.minimum(table[:, 0], 0), np.maximum(table[:, 2], 0)
-        constant = math.log((mass[0].sum() + 1) / (mass[1].sum() + 1))
-        new = 1 / (1 + np.exp(-np.clip(constant + np.tensordot(onehot, table, 2), -500, 500)))
+        high, low = weight * good, weight * (1 - good)
+        p, q = (high @ fired + 1) / (high.sum() + 2), (low @ fired + 1) / (low.sum() + 2)
+        wrong = np.where(against, p > q, p < q)
+        votes = np.where(wrong, 0, np.log(p) - np.log(q))
+        silent = np.where(wrong, 0, np.log(1 - p) - np.log(1 - q))
+        constant = math.log((high.sum() + 1) / (low.sum() + 1))
+        new = 1 / (1 + np.exp(-np.clip(constant + fired @ votes + (1 - fired) @ silent, -500, 500)))
         moved = np.abs(new - good).max()
         good = new
         if moved < 1e-9:
             break
-    return constant, table
+    return constant, votes, silent
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed, posterior and kept.
 
-    Every rule votes good or bad or abstains. The distinct vote rows are counted over all documents (at most three to
-    the number of rules, whatever the corpus) and expectation-maximisation estimates how reliable each rule is;
+    Rules vote good or bad or abstain. The distinct rows of votes are counted over all documents (at most two to the
+    number of rules, whatever the corpus) and expectation-maximisation estimates how reliable each rule is;
     ``posterior`` is the probability of quality given all votes. A document is kept unless it fails the base rule or
     its posterior is below ``threshold``.
 
     Null and empty texts have no words and fail the base rule. Null ids stay null, repeated rows are judged alike, an
     empty table gives no rows, other columns are not read. A very long text is measured whole in one call.
     """
-    votes = rules()
-    rows = pin(measured(docs).select("*", *[v.alias(f"vote_{n}") for n, v in votes.items()]), "quality-votes")
-    names = [f"vote_{n}" for n in votes]
+    bad, good = rules()
+    names = [f"vote_{n}" for n in (*bad, *good)]
+    rows = pin(measured(docs).select("*", *[F.when(r, 1).otherwise(0).alias(f"vote_{n}") for n, r in (bad | good).items()]), "quality-votes")
     counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()
-    seen = np.array([[r[n] for n in names] for r in counted]).reshape(-1, len(names))
-    constant, table = estimate(seen, np.array([r["n"] for r in counted], dtype=float))
-    parts = [
-        F.when(F.col(n) < 0, F.lit(float(t[0]))).when(F.col(n) > 0, F.lit(float(t[2]))).otherwise(F.lit(float(t[1]))) for n, t in zip(names, table, strict=True)
-    ]
-    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, parts, F.lit(float(constant)))))
+    fired = np.array([[r[n] for n in names] for r in counted], dtype=float).reshape(-1, len(names))
+    against = np.arange(len(names)) < len(bad)
+    constant, votes, silent = estimate(fired, np.array([r["n"] for r in counted], dtype=float), against)
+    parts = [F.when(F.col(n) == 1, float(v)).otherwise(float(s)) for n, v, s in zip(names, votes, silent, strict=True)]
+    odds = reduce(lambda a, b: a + b, parts, F.lit(float(constant)))
+    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     return rows.select("doc_id", *MEASURES, failed.alias("base_failed"), posterior.alias("posterior")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)

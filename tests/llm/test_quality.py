@@ -49,21 +49,22 @@ def test_verdicts(spark):
         assert r["base_failed"] == (n < 10 or 100 * r["n_repeat_words"] > 20 * n) and not (r["base_failed"] and r["kept"])
         if i is not None and i >= 1000:
             assert not r["kept"]
-        elif n >= 20 and not r["base_failed"]:
+        elif n >= 20 and not r["base_failed"] and i not in (204, 205):  # few stems for its length; hardly any letters
             assert r["kept"], (i, r)
 
 
 def test_estimates_recover_planted_rules():
     rng = np.random.default_rng(0)
-    good = rng.random(20000) < 0.7
-    votes = np.zeros((20000, 4), int)
-    for k, right in enumerate((0.95, 0.9, 0.85, 0.5)):
-        says = np.where(rng.random(20000) < right, good, ~good)
-        votes[:, k] = np.where(rng.random(20000) < 0.2, 0, np.where(says, 1, -1))
-    seen, n = np.unique(votes, axis=0, return_counts=True)
-    constant, table = quality.estimate(seen, n.astype(float))
-    assert abs(constant - np.log(0.7 / 0.3)) < 0.3
-    assert table[0, 2] > table[1, 2] > table[2, 2] > table[3, 2] - 1e-9 and abs(table[3]).max() < 0.3
+    good = rng.random(40000) < 0.8
+    bad_rates, good_rates = [(0.4, 0.01), (0.3, 0.02), (0.3, 0.29)], [(0.05, 0.8), (0.1, 0.7)]
+    fired = np.stack([rng.random(40000) < np.where(good, g, b) for b, g in bad_rates + good_rates], axis=1)
+    seen, n = np.unique(fired, axis=0, return_counts=True)
+    constant, votes, silent = quality.estimate(seen.astype(float), n.astype(float), np.array([True] * 3 + [False] * 2))
+    odds = constant + fired @ votes + ~fired @ silent
+    rates = np.array(bad_rates + good_rates)
+    true = np.log(0.8 / 0.2) + fired @ np.log(rates[:, 1] / rates[:, 0]) + ~fired @ np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
+    assert np.mean((odds >= 0) == good) > np.mean((true >= 0) == good) - 0.01 and abs(constant - np.log(4)) < 0.2
+    assert votes[0] < votes[1] < votes[2] <= 0 and votes[2] > -0.7 and votes[3] > 1
 
 
 def test_empty_table(spark):
