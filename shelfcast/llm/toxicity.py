@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,8 +16,8 @@ from pyspark.sql import types as T
 
 from shelfcast.llm.tokens import slices
 
-#: Hashed features, words kept per Python worker, and the longest word kept.
-SIZE, CACHE_WORDS, CACHE_BYTES = 1 << 18, 800_000, 64
+#: Words kept per Python worker, and the longest word kept.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 _EDGE = b".,;:!?\"'()[]{}<>*#%&$|"
 
 
@@ -27,11 +26,10 @@ def word_key(word: bytes) -> bytes:
     return word.strip(_EDGE).decode("utf-8", "ignore").lower().encode()
 
 
-def features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself, its beginnings of 3 to 6 letters and its ending."""
+def features(word: bytes) -> list[str]:
+    """Features of a word: itself, its beginnings of 3 to 6 letters, its ending, and one that all words have."""
     key = word_key(word).decode()
-    names = [f"w{key}", *(f"p{n}{key[:n]}" for n in (3, 4, 5, 6) if len(key) >= n), f"s{key[-3:]}", "all"]
-    return [zlib.crc32(x.encode()) & (SIZE - 1) for x in names]
+    return [f"w{key}", *(f"{n}{key[:n]}" for n in (3, 4, 5, 6) if len(key) >= n), f"s{key[-3:]}", "all"]
 
 
 def signals(word: bytes) -> list[str]:
@@ -40,63 +38,70 @@ def signals(word: bytes) -> list[str]:
     return [f"w{key}", *(f"p{key[:n]}" for n in (4, 5, 6) if len(key) > n)] if key else []
 
 
-def chain_products(first: np.ndarray, step: np.ndarray, block: int = 0) -> np.ndarray:
-    """Normalised row vectors v_t = v_(t-1) M_t along a chain, where ``first`` marks rows whose M_t ignores v_(t-1).
+def chain_products(step: np.ndarray) -> np.ndarray:
+    """Normalised row vectors v_t = v_(t-1) M_t along a chain that starts from (1, 1).
 
-    Products inside blocks run side by side, then block ends are chained, so a chain of n steps takes about twice the
-    square root of n array operations. ``step`` is (n, 2, 2); at a first row both rows of M_t are the same.
+    ``step`` is (4, n): the entries 00, 01, 10, 11 of each M_t. Where both rows of M_t are the same, v_t does not depend
+    on what came before, so many documents make one chain. Products inside blocks run side by side, then block ends
+    are chained: n steps take about the square root of n array operations. Returns (2, n).
     """
-    n = len(step)
-    block = block or max(1, int(math.sqrt(n)))
+    n = step.shape[1]
+    block = max(1, int(math.sqrt(n)))
     count = -(-n // block)
-    m = np.zeros((count * block, 2, 2))
-    m[:n] = step
-    m[n:] = np.eye(2)
-    m = m.reshape(count, block, 2, 2)
+    m = np.zeros((4, count * block))
+    m[:, :n] = step
+    m[0, n:] = m[3, n:] = 1.0
+    m = np.ascontiguousarray(m.reshape(4, count, block).transpose(2, 0, 1))
+    run = np.zeros((4, count))
+    run[0] = run[3] = 1.0
     inside = np.empty_like(m)
-    run = np.broadcast_to(np.eye(2), (count, 2, 2)).copy()
     for k in range(block):
-        run = np.matmul(run, m[:, k])
-        run /= run.sum(axis=(1, 2), keepdims=True)
-        inside[:, k] = run
-    start = np.empty((count, 2))
-    v = np.array([0.5, 0.5])
-    for b in range(count):
-        start[b] = v
-        v = v @ inside[b, -1]
-        v /= v.sum()
-    out = np.einsum("bi,bkij->bkj", start, inside).reshape(-1, 2)[:n]
-    return out / out.sum(axis=1, keepdims=True)
+        x, new = m[k], inside[k]
+        new[0], new[1] = run[0] * x[0] + run[1] * x[2], run[0] * x[1] + run[1] * x[3]
+        new[2], new[3] = run[2] * x[0] + run[3] * x[2], run[2] * x[1] + run[3] * x[3]
+        new /= new[0] + new[1] + new[2] + new[3]
+        run = new
+    start, a, b = np.empty((2, count)), 0.5, 0.5
+    for i, (p, q, r, s) in enumerate(inside[-1].T.tolist()):
+        start[0, i], start[1, i] = a, b
+        a, b = a * p + b * r, a * q + b * s
+        a, b = a / (a + b), b / (a + b)
+    out = np.stack([start[0] * inside[:, 0] + start[1] * inside[:, 2], start[0] * inside[:, 1] + start[1] * inside[:, 3]])
+    out /= out[0] + out[1]
+    return out.transpose(0, 2, 1).reshape(2, -1)[:, :n]
+
+
+def potentials(emission: np.ndarray) -> np.ndarray:
+    """(2, n) weights of labels 0 and 1 of every token, the larger one being 1."""
+    e = np.clip(emission, -30, 30)
+    return np.stack([np.exp(np.minimum(-e, 0)), np.exp(np.minimum(e, 0))])
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward messages and the marginal of label 1 for every token.
+    """Forward and backward messages (2, n) and the marginal of label 1 for every token.
 
     ``emission`` are log odds of label 1, ``first`` marks the first token of each document, ``trans`` (2, 2) are log
     potentials and ``begin`` the log odds of starting with label 1.
     """
-    n = len(emission)
-    e = np.clip(emission, -30, 30)
-    weight = np.stack([np.exp(np.minimum(-e, 0)), np.exp(np.minimum(e, 0))], axis=1)
-    t = np.exp(trans)
-    forward = t[None] * weight[:, None, :]
-    forward[first] = (np.array([1.0, math.exp(begin)]) * weight[first])[:, None, :]
-    alpha = chain_products(first, forward)
-    # Backward: beta_t = T (weight * beta)_(t+1), and ones at the last token of a document.
-    last = np.append(first[1:], True)
-    back = np.empty((n, 2, 2))
-    back[:-1] = (t[None] * weight[1:, None, :]).transpose(0, 2, 1)
-    back[last] = 1.0
-    beta = chain_products(last[::-1], back[::-1])[::-1]
+    w, t = potentials(emission), np.exp(trans)
+    forward = np.stack([t[0, 0] * w[0], t[0, 1] * w[1], t[1, 0] * w[0], t[1, 1] * w[1]])
+    opening = np.stack([w[0, first], math.exp(begin) * w[1, first]])
+    forward[:, first] = np.concatenate([opening, opening])
+    alpha = chain_products(forward)
+    # Backward, in reverse: beta_t = T (weight * beta)_(t+1), and ones at the last token of a document.
+    back = np.ones((4, len(emission)))
+    back[:, :-1] = np.stack([t[0, 0] * w[0, 1:], t[1, 0] * w[0, 1:], t[0, 1] * w[1, 1:], t[1, 1] * w[1, 1:]])
+    back[:, np.append(first[1:], True)] = 1.0
+    beta = chain_products(back[:, ::-1])[:, ::-1]
     both = alpha * beta
-    return alpha, beta, both[:, 1] / both.sum(axis=1)
+    return alpha, beta, both[1] / (both[0] + both[1])
 
 
 @dataclass
 class Tagger:
     """Weights of the chain, and of the logistic map from a document's marginals to its score."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     trans: np.ndarray
     begin: float
     scale: np.ndarray
@@ -108,10 +113,10 @@ class Tagger:
     def emissions(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, w = self.known, self.weights
-        fresh = {x for x in set(words) if x not in known}
-        rare = {x: float(w[features(x)].sum()) for x in fresh if len(x) > CACHE_BYTES}
-        known.update((x, float(w[features(x)].sum())) for x in fresh if len(x) <= CACHE_BYTES)
+        known, weight = self.known, self.weights.get
+        fresh = {x: sum(weight(f, 0.0) for f in features(x)) for x in set(words).difference(known)}
+        rare = {x: e for x, e in fresh.items() if len(x) > CACHE_BYTES}
+        known.update((x, e) for x, e in fresh.items() if len(x) <= CACHE_BYTES)
         find = {**known, **rare}.__getitem__ if rare else known.__getitem__
         return np.fromiter(map(find, words), float, len(words))
 
@@ -127,7 +132,7 @@ class Tagger:
 
     def summary(self, p: np.ndarray) -> tuple[float, float]:
         """What a document's score sees: log odds of its most toxic token, and the log of expected toxic tokens."""
-        top = float(np.clip(p.max(), 1e-7, 1 - 1e-7)) if len(p) else 1e-7
+        top = float(np.clip(p.max(), 1e-3, 1 - 1e-3)) if len(p) else 1e-3
         return math.log(top / (1 - top)), math.log1p(float(p[p > 0.05].sum()) if len(p) else 0.0)
 
     def score(self, p: np.ndarray) -> float:
@@ -135,17 +140,26 @@ class Tagger:
         return 1 / (1 + math.exp(-float(np.clip(self.scale @ [1.0, a, b], -50, 50))))
 
 
-def token_labels(docs: list[list[bytes]], toxic: np.ndarray, least: int = 4, ratio: float = 15.0) -> list[np.ndarray | None]:
+def token_labels(docs: list[list[bytes]], toxic: np.ndarray, least: int = 4, share: float = 0.01, ratio: float = 30.0) -> list[np.ndarray | None]:
     """Token labels from document labels: in a toxic document, tokens with a signal that toxic documents own.
 
-    A signal counts if at least ``least`` toxic documents have it, at a rate ``ratio`` times that of the others. A toxic
-    document without such a token is left out (None), since where it is toxic isn't known.
+    A signal counts if toxic documents have it between enough different neighbours (so that copies of a passage count
+    once): ``least`` documents and pairs of neighbours and a ``share`` of the number of toxic documents, at a rate ``ratio`` times that
+    of the others' documents. A toxic document without such a token is left out (None), since where it is toxic isn't
+    known.
     """
-    inside, outside = Counter(), Counter()
+    places, having, outside = {}, Counter(), Counter()
     for d, x in zip(docs, toxic, strict=True):
-        (inside if x else outside).update({s for w in set(d) for s in signals(w)})
+        if x:
+            for before, w, after in zip([b"", *d], d, [*d[1:], b""], strict=False):
+                for s in signals(w):
+                    places.setdefault(s, set()).add((before, after))
+            having.update({s for w in set(d) for s in signals(w)})
+        else:
+            outside.update({s for w in set(d) for s in signals(w)})
+    inside = {s: min(len(p), having[s]) for s, p in places.items()}
     n_in, n_out = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    strong = {s for s, n in inside.items() if n >= least and n / n_in >= ratio * (outside[s] + 0.5) / n_out}
+    strong = {s for s, n in inside.items() if n >= max(least, share * n_in) and n / n_in >= ratio * (outside[s] + 0.5) / n_out}
     out = []
     for d, x in zip(docs, toxic, strict=True):
         y = np.array([any(s in strong for s in signals(w)) for w in d], dtype=float) if x else np.zeros(len(d))
@@ -153,20 +167,30 @@ def token_labels(docs: list[list[bytes]], toxic: np.ndarray, least: int = 4, rat
     return out
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.5, l2: float = 1e-6) -> Tagger:
-    """Fit the chain by adaptive gradient steps on its log-likelihood, then the document score by logistic regression."""
+def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.5, l2: float = 1e-6, clean: int = 1000) -> Tagger:
+    """Fit the chain by adaptive gradient steps on its log-likelihood, then the document score by logistic regression.
+
+    All texts decide which tokens count as toxic and how scores are scaled; the chain itself is fitted on the toxic ones
+    and the first ``clean`` others.
+    """
     docs, flags = [t.encode("utf-8", "replace").split() for t in texts], np.array(toxic, dtype=bool)
-    tagger = Tagger(np.zeros(SIZE), np.zeros((2, 2)), -3.0, np.array([-3.0, 1.0, 0.0]))
+    tagger = Tagger({"all": -8.0}, np.zeros((2, 2)), -3.0, np.array([-3.0, 1.0, 0.0]))
     labels = token_labels(docs, flags)
-    used = [(d, y) for d, y in zip(docs, labels, strict=True) if y is not None and len(d)]
+    spare = np.cumsum(~flags) > clean
+    used = [(d, y) for d, y, f, skip in zip(docs, labels, flags, spare, strict=True) if y is not None and len(d) and (f or not skip)]
     if not flags.any() or not any(y.any() for _, y in used):
-        tagger.weights[zlib.crc32(b"all") & (SIZE - 1)] = -8.0
         return tagger
     words = [w for d, _ in used for w in d]
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
     token = np.fromiter((names[w] for w in words), np.int64, len(words))
-    rows = [features(w) for w in names]
-    word_of, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.array(r) for r in rows])
+    often = np.bincount(token, minlength=len(names)).tolist()
+    seen = Counter()
+    for word, n in zip(names, often, strict=True):
+        for f in features(word):
+            seen[f] += n
+    number = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= 3)}
+    rows = [[number[f] for f in features(w) if f in number] for w in names]
+    word_of, feature, size = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([f for r in rows for f in r]), len(number)
     y = np.concatenate([y for _, y in used])
     counts = np.array([len(d) for d, _ in used])
     first = np.zeros(len(y), bool)
@@ -174,56 +198,68 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.5,
     inner = np.flatnonzero(~first)
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
-    trans, begin, w = np.zeros((2, 2)), -3.0, np.zeros(SIZE)
-    w[zlib.crc32(b"all") & (SIZE - 1)] = math.log((y.sum() + 1) / (len(y) + 1))
-    seen_w, seen_t, seen_b = np.full(SIZE, 1e-8), np.full((2, 2), 1e-8), 1e-8
+    trans, begin, w = np.zeros((2, 2)), -3.0, np.zeros(size)
+    w[number["all"]] = math.log((y.sum() + 1) / (len(y) + 1))
+    seen_w, seen_t, seen_b = np.full(size, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(rounds):
         emission = np.bincount(word_of, weights=w[feature], minlength=len(rows))[token]
         alpha, beta, p = marginals(emission, first, trans, begin)
         grad_word = np.bincount(token, weights=y - p, minlength=len(rows))
-        grad = np.bincount(feature, weights=grad_word[word_of], minlength=SIZE) - l2 * len(y) * w
-        e = np.clip(emission[inner], -30, 30)
-        weight = np.stack([np.exp(np.minimum(-e, 0)), np.exp(np.minimum(e, 0))], axis=1)
-        joint = alpha[inner - 1][:, :, None] * np.exp(trans)[None] * (weight * beta[inner])[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        grad_t, grad_b = pairs - joint.sum(axis=0), float((y[first] - p[first]).sum())
+        grad = np.bincount(feature, weights=grad_word[word_of], minlength=size) - l2 * len(y) * w
+        after = potentials(emission[inner]) * beta[:, inner]
+        joint = alpha[:, None, inner - 1] * np.exp(trans)[:, :, None] * after[None]
+        joint = (joint / joint.sum(axis=(0, 1))).sum(axis=2)
+        grad_t, grad_b = pairs - joint, float((y[first] - p[first]).sum())
         seen_w, seen_t, seen_b = seen_w + grad**2, seen_t + grad_t**2, seen_b + grad_b**2
         w = w + rate * grad / np.sqrt(seen_w)
         trans = trans + rate * grad_t / np.sqrt(seen_t)
         begin += rate * grad_b / math.sqrt(seen_b)
-    tagger.weights, tagger.trans, tagger.begin = w.astype(np.float32), trans, begin
-    x = np.array([[1.0, *tagger.summary(p)] for d in docs for p in tagger.tag([d])])
-    scale = np.array([-2.0, 0.5, 0.5])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
-        hess = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * len(x) * np.diag([1e-4, 1e-3, 1e-3])
-        scale = scale + np.linalg.solve(hess, x.T @ (flags - q) - 1e-2 * len(x) * np.array([1e-4, 1e-3, 1e-3]) * scale)
-    tagger.scale, tagger.known = scale, {}
+    tagger.weights = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}
+    tagger.trans, tagger.begin = trans, begin
+    x = np.array([[1.0, *tagger.summary(p)] for p in tagger.tag(docs)])
+    tagger.scale, tagger.known = logistic(x, flags), {}
     return tagger
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression whose columns after the first may only count in favour of 1."""
+    held = list(range(x.shape[1]))
+    while True:
+        z, w = x[:, held], np.zeros(len(held))
+        penalty = ridge * len(x) * np.array([1e-3] + [1.0] * (len(held) - 1))
+        for _ in range(rounds):
+            q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (q * (1 - q) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - q) - penalty * w)
+            w = w + np.clip(step, -2, 2)
+        if len(held) == 1 or w[1:].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[held] = w
+            return out
+        held.pop(1 + int(w[1:].argmin()))
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text modulo 5; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> DataFrame:
-    """(text, toxic): at most ``per_class`` labelled rows of each class outside fold 0, in order of a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
+    """(text, toxic): at most ``most`` toxic and four times as many other rows outside fold 0, in order of a hash of the id.
 
     Rows of more than ``longest`` characters are passed over when fitting, so the sample's size is bounded. The
-    sampled ids, at most twice ``per_class``, are the side that is broadcast.
+    sampled ids, at most five times ``most``, are the side that is broadcast.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(fold() != 0)
     order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order).limit(per_class).union(known.where("toxic = 0").orderBy(order).limit(per_class))
+    picked = known.where("toxic = 1").orderBy(order).limit(most).union(known.where("toxic = 0").orderBy(order).limit(4 * most))
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= longest)
-    return found.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).orderBy("doc_id").limit(2 * per_class).select("x.text", "x.toxic")
+    return found.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).orderBy("doc_id").limit(5 * most).select("x.text", "x.toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 8000) -> Tagger:
+def train(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 8000) -> Tagger:
     """A tagger fitted on the bounded sample of ``training_rows``; rows of fold 0 are never used."""
-    rows = training_rows(docs, labels, per_class, longest).collect()
+    rows = training_rows(docs, labels, most, longest).collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
@@ -255,10 +291,10 @@ def scorer(tagger: Tagger, threshold: float = 0.5):
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 8000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 8000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, spans.
 
-    The chain tags words as toxic or not from hashed features of the word; its transitions carry context. Token labels
+    The chain tags words as toxic or not from features of the word; its transitions carry context. Token labels
     are drawn from document labels of the training folds. A document's score is a logistic function of its tokens'
     forward-backward marginals, its spans are the runs of tokens at 0.5 or more.
 
@@ -266,13 +302,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 1500, l
     Without any toxic training row all scores are low. Duplicate labels of an id count as toxic if any does. Repeated
     rows score alike, an empty table gives no rows, other columns are not read, long texts are scored whole.
     """
-    tagger = train(docs, labels, per_class, longest)
+    tagger = train(docs, labels, most, longest)
     held = fold() == 0
     out = docs.select("doc_id", held.alias("held_out"), scorer(tagger)("text").alias("tox"))
     return out.select("doc_id", "held_out", F.col("tox.score").alias("score"), F.when(F.col("tox.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("tox.spans").alias("spans"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 8000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 8000) -> DataFrame:
     """``docs`` without the rows that ``score_documents`` predicts to be toxic."""
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(train(docs, labels, per_class, longest))("text").alias("tox"))
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(train(docs, labels, most, longest))("text").alias("tox"))
     return scored.where(F.col("tox.score") < 0.5).select("row.*")
