@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm.bitmap import marks, maybe
+from shelfcast.operators.scale import running_totals
 from shelfcast.session import pin
 
 #: A document's key. Rows with the same id and the same text are one document; a null id sorts last.
@@ -60,32 +62,36 @@ def line_rows(docs: DataFrame, near_words: int) -> DataFrame:
     lines = lines.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1)
 
     def half(side: int, less: int) -> Column:
-        p = F.floor((F.col("n") - less) / 2).cast("int")
-        return F.xxhash64(F.lit(side), p, F.expr(f"substring_index(w, ' ', cast(floor((n - {less}) / 2) as int) * {side})"))
+        p = f"cast((n - {less}) div 2 as int)"
+        return F.xxhash64(F.lit(side), F.expr(p), F.expr(f"substring_index(w, ' ', {p} * {side})"))
 
-    keys = F.array_distinct(F.array(*[half(s, k) for s in (1, -1) for k in (0, 1)]))
+    # With an odd number of words both halves have the same length.
+    keys = F.when(F.col("n") % 2 == 1, F.array(half(1, 0), half(-1, 0))).otherwise(F.array(half(1, 0), half(-1, 0), half(1, 1), half(-1, 1)))
     none = F.array().cast("array<bigint>")
-    return lines.select(*POS, F.xxhash64("w").alias("h1"), F.hash("w").alias("h2"), "n", F.when(F.col("n") >= near_words, keys).otherwise(none).alias("keys"))
+    return lines.select(*POS, F.xxhash64("w").alias("h1"), F.hash("w").alias("h2"), F.when(F.col("n") >= near_words, keys).otherwise(none).alias("keys"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Hashed keys of each line (columns pos, words) and of each line with one word left out: (pos, v, m, i).
+    """Hashed keys of each line (columns rank, words) and of each line with one word left out: (rank, v, i).
 
     A hash is the XOR of the hashes of (word, place), so leaving out word i only needs the places before and after it.
-    ``m`` is the number of words hashed, ``i`` the place left out, -1 for none.
+    The number of words hashed is part of the key; ``i`` is the place left out, -1 for none.
     """
     here = F.transform("words", lambda w, j: F.xxhash64(w, j))
     shifted = F.transform("words", lambda w, j: F.xxhash64(w, j - 1))
-    placed = lines.select("pos", F.size("words").alias("n"), here.alias("f"), shifted.alias("g"))
+    placed = lines.select("rank", F.size("words").alias("n"), here.alias("f"), shifted.alias("g"))
     both = placed.withColumn("c", F.zip_with("f", "g", lambda a, b: a.bitwiseXOR(b)))
 
     def whole(a: str) -> Column:
         return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(x))
 
-    swept = both.select("pos", "n", "g", whole("f").alias("all_f"), whole("g").alias("all_g"), before_each(F.col("c")).alias("before"))
-    out = swept.select("pos", "n", "all_f", F.posexplode(F.zip_with("g", "before", lambda g, b: g.bitwiseXOR(b).bitwiseXOR(F.col("all_g")))).alias("i", "v"))
-    left_out = out.select("pos", "v", (F.col("n") - 1).alias("m"), "i")
-    return left_out.unionByName(both.select("pos", whole("f").alias("v"), F.col("n").alias("m"), F.lit(-1).alias("i")))
+    swept = both.select(
+        "rank", "g", whole("f").bitwiseXOR(F.xxhash64("n")).alias("all_f"), whole("g").bitwiseXOR(F.xxhash64(F.col("n") - 1)).alias("all_g"),
+        before_each(F.col("c")).alias("before"),
+    )
+    cut = F.zip_with("g", "before", lambda g, b: g.bitwiseXOR(b).bitwiseXOR(F.col("all_g")))
+    every = F.concat(F.array("all_f"), cut)
+    return swept.select("rank", F.posexplode(every).alias("i", "v")).withColumn("i", F.col("i") - 1)
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -97,39 +103,49 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(longer) == F.size(shorter) + 1, rest).otherwise(F.lit(False))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(pos): distinct lines that an earlier line is within one edit of."""
-    keyed = distinct.select("pos", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = keyed.join(shared, "key").select("pos").distinct()
-    per_doc = wanted.groupBy(*[F.col(f"pos.{c}").alias(c) for c in DOC]).agg(F.collect_list("pos.line").alias("lines"))
+def candidates(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(POS..., rank): first places of distinct lines that share a key with another line, numbered in corpus order."""
+    keyed = rows.select("h1", "h2", F.explode("keys").alias("key"))
+    shared = pin(
+        keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d"))
+        .where("a < b or c < d").select("key"), "shared-keys",
+    )
+    found = maybe(keyed, "key", marks(shared, "key")).join(shared, "key").select("h1", "h2").distinct()
+    placed = firsts.join(found, ["h1", "h2"]).select("pos.*")
+    return running_totals(placed, [F.col(c) for c in POS], {"rank": F.lit(1).cast("long")})
+
+
+def near_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(POS...): candidate lines that an earlier line is within one edit of."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Rows with the same id and text are one document; the first of them is enough.
-    held = docs.select(*doc_key(text), text.alias("text")).join(per_doc, list(DOC))
-    picked = held.select(*DOC, "lines", F.split("text", "\n").alias("all")).select(*DOC, F.explode("lines").alias("line"), "all")
-    words = F.split(normal(F.element_at("all", F.col("line") + 1)), " ")
-    lines = pin(picked.select(F.struct(*POS).alias("pos"), words.alias("words")).dropDuplicates(["pos"]), "near-lines")
+    places = docs.select(*doc_key(text), F.posexplode(F.split(text, "\n")).alias("line", "raw")).withColumn("at", F.xxhash64(*POS))
+    spots = marks(wanted.select(F.xxhash64(*POS).alias("at")), "at")
+    held = maybe(places, "at", spots).join(wanted, list(POS)).select("rank", F.split(normal(F.col("raw")), " ").alias("words"))
+    # Rows with the same id and text are one document and give the same lines.
+    lines = pin(held.dropDuplicates(["rank"]), "near-lines")
 
     keys = pin(variants(lines), "variants")
+    often = pin(keys.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v"), "shared-variants")
+    hits = pin(maybe(keys, "v", marks(often, "v")).join(often, "v"), "variant-hits")
     # Lines that agree after leaving out the same place are within one edit, and so is a line and one that lacks a word.
-    by_place = keys.groupBy("v", "m", "i").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    by_key = by_place.groupBy("v", "m").agg(
-        F.min(F.when(F.col("i") < 0, F.col("first"))).alias("full"), F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("cut"), F.sum("n").alias("all")
-    ).where(F.col("all") > 1)
+    by_place = hits.groupBy("v", "i").agg(F.min("rank").alias("first"))
+    by_key = by_place.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("first"))).alias("full"), F.min(F.when(F.col("i") >= 0, F.col("first"))).alias("cut"))
     offer = F.when(F.col("i") < 0, F.col("cut")).otherwise(F.least("first", "full"))
-    offers = by_place.join(by_key, ["v", "m"]).select("v", "m", "i", offer.alias("partner")).where("partner is not null")
-    pairs = keys.join(offers, ["v", "m", "i"]).where(F.col("partner") < F.col("pos")).select("pos", "partner").distinct()
-    mine, other = lines.select("pos", F.col("words").alias("a")), lines.select(F.col("pos").alias("partner"), F.col("words").alias("b"))
-    return pairs.join(mine, "pos").join(other, "partner").where(within_one(F.col("a"), F.col("b"))).select("pos").distinct()
+    offers = by_place.join(by_key, "v").select("v", "i", offer.alias("partner"))
+    pairs = hits.join(offers, ["v", "i"]).where(F.col("partner") < F.col("rank")).select("rank", "partner").distinct()
+    mine, other = lines.select("rank", F.col("words").alias("a")), lines.select(F.col("rank").alias("partner"), F.col("words").alias("b"))
+    found = pairs.join(mine, "rank").join(other, "partner").where(within_one(F.col("a"), F.col("b"))).select("rank").distinct()
+    return found.join(wanted, "rank").select(*POS)
 
 
 def dropped_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     """(DOC..., lines): the line numbers of each document that an earlier line of the corpus makes superfluous."""
     rows = pin(line_rows(docs, near_words), "lines")
     pos = F.struct(*POS)
-    distinct = pin(rows.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.first("keys").alias("keys")), "distinct-lines")
-    copies = rows.join(distinct.select("h1", "h2", "pos"), ["h1", "h2"]).where(pos != F.col("pos")).select(*POS)
-    near = near_lines(docs, distinct.where(F.size("keys") > 0)).select("pos.*")
+    firsts = pin(rows.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.count(F.lit(1)).alias("n")), "first-lines")
+    repeated = firsts.where("n > 1").select("h1", "h2", "pos")
+    copies = maybe(rows.drop("keys"), "h1", marks(repeated, "h1")).join(repeated, ["h1", "h2"]).where(pos != F.col("pos")).select(*POS)
+    near = near_lines(docs, candidates(rows, firsts))
     return copies.unionByName(near).groupBy(*DOC).agg(F.collect_set("line").alias("lines"))
 
 
@@ -142,7 +158,8 @@ def dedup_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     does not depend on the order of work. A row is never dropped: it may be left with an empty text.
 
     Candidates come from a lossless filter on halves of lines; candidate lines emit themselves and every variant with
-    one word left out as hashed keys. Equal keys offer each line the earliest other line, never a pair of every two, so a
+    one word left out as hashed keys. Before a shuffle, rows without any partner are mostly sifted out by bitmaps of bounded
+    size; the joins that follow are exact. Equal keys offer each line the earliest other line, never a pair of every two, so a
     template that a third of all lines follow gives one offer per line; each offer is verified on the words.
 
     Null and empty texts have no lines to drop; lines without words always stay. Rows with equal id and text are one
