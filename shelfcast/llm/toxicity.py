@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -148,18 +149,24 @@ def token_labels(docs: list[list[bytes]], toxic: np.ndarray, least: int = 4, sha
     of the others' documents. A toxic document without such a token is left out (None), since where it is toxic isn't
     known.
     """
-    places, having, outside = {}, Counter(), Counter()
-    for d, x in zip(docs, toxic, strict=True):
-        if x:
-            for before, w, after in zip([b"", *d], d, [*d[1:], b""], strict=False):
-                for s in signals(w):
-                    places.setdefault(s, set()).add((before, after))
-            having.update({s for w in set(d) for s in signals(w)})
-        else:
-            outside.update({s for w in set(d) for s in signals(w)})
-    inside = {s: min(len(p), having[s]) for s, p in places.items()}
     n_in, n_out = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    strong = {s for s, n in inside.items() if n >= max(least, share * n_in) and n / n_in >= ratio * (outside[s] + 0.5) / n_out}
+    bad, clean = [d for d, x in zip(docs, toxic, strict=True) if x], [d for d, x in zip(docs, toxic, strict=True) if not x]
+    inside = Counter()
+    for d in bad:
+        inside.update({s for w in set(d) for s in signals(w)})
+    strong = {s for s, n in inside.items() if n >= max(least, share * n_in)}
+    outside = Counter()
+    for d in clean:
+        outside.update({s for w in set(d) for s in signals(w) if s in strong})
+    need = {s: max(least, share * n_in, ratio * n_in * (outside[s] + 0.5) / n_out) for s in strong}
+    strong = {s for s in strong if inside[s] >= need[s]}
+    places = {s: set() for s in strong}
+    for d in bad:
+        for before, w, after in zip([b"", *d], d, [*d[1:], b""], strict=False):
+            for s in signals(w):
+                if s in strong:
+                    places[s].add(hash((before, after)))
+    strong = {s for s in strong if len(places[s]) >= need[s]}
     out = []
     for d, x in zip(docs, toxic, strict=True):
         y = np.array([any(s in strong for s in signals(w)) for w in d], dtype=float) if x else np.zeros(len(d))
@@ -183,14 +190,21 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.5,
     words = [w for d, _ in used for w in d]
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
     token = np.fromiter((names[w] for w in words), np.int64, len(words))
-    often = np.bincount(token, minlength=len(names)).tolist()
-    seen = Counter()
-    for word, n in zip(names, often, strict=True):
+    number: dict[str, int] = {}
+    word_of, feature = array("l"), array("l")
+    for i, word in enumerate(names):
         for f in features(word):
-            seen[f] += n
-    number = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= 3)}
-    rows = [[number[f] for f in features(w) if f in number] for w in names]
-    word_of, feature, size = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([f for r in rows for f in r]), len(number)
+            word_of.append(i)
+            feature.append(number.setdefault(f, len(number)))
+    word_of, feature = np.frombuffer(word_of, np.int64), np.frombuffer(feature, np.int64)
+    # Features of fewer than three tokens say nothing.
+    often = np.bincount(feature, weights=np.bincount(token, minlength=len(names))[word_of], minlength=len(number)) >= 3
+    order = np.cumsum(often) - 1
+    keep = often[feature]
+    word_of, feature, size = word_of[keep], order[feature[keep]], int(often.sum())
+    number = {f: int(order[i]) for f, i in number.items() if often[i]}
+    word_count = len(names)
+    del words, names
     y = np.concatenate([y for _, y in used])
     counts = np.array([len(d) for d, _ in used])
     first = np.zeros(len(y), bool)
@@ -202,9 +216,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.5,
     w[number["all"]] = math.log((y.sum() + 1) / (len(y) + 1))
     seen_w, seen_t, seen_b = np.full(size, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(rounds):
-        emission = np.bincount(word_of, weights=w[feature], minlength=len(rows))[token]
+        emission = np.bincount(word_of, weights=w[feature], minlength=word_count)[token]
         alpha, beta, p = marginals(emission, first, trans, begin)
-        grad_word = np.bincount(token, weights=y - p, minlength=len(rows))
+        grad_word = np.bincount(token, weights=y - p, minlength=word_count)
         grad = np.bincount(feature, weights=grad_word[word_of], minlength=size) - l2 * len(y) * w
         after = potentials(emission[inner]) * beta[:, inner]
         joint = alpha[:, None, inner - 1] * np.exp(trans)[:, :, None] * after[None]
@@ -216,7 +230,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.5,
         begin += rate * grad_b / math.sqrt(seen_b)
     tagger.weights = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}
     tagger.trans, tagger.begin = trans, begin
-    x = np.array([[1.0, *tagger.summary(p)] for p in tagger.tag(docs)])
+    x = np.array([[1.0, *tagger.summary(p)] for i in range(0, len(docs), 200) for p in tagger.tag(docs[i : i + 200])])
     tagger.scale, tagger.known = logistic(x, flags), {}
     return tagger
 
@@ -244,20 +258,20 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
-    """(text, toxic): at most ``most`` toxic and four times as many other rows outside fold 0, in order of a hash of the id.
+    """(text, toxic): at most ``most`` toxic and twice as many other rows outside fold 0, in order of a hash of the id.
 
     Rows of more than ``longest`` characters are passed over when fitting, so the sample's size is bounded. The
-    sampled ids, at most five times ``most``, are the side that is broadcast.
+    sampled ids, at most three times ``most``, are the side that is broadcast.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(fold() != 0)
     order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order).limit(most).union(known.where("toxic = 0").orderBy(order).limit(4 * most))
+    picked = known.where("toxic = 1").orderBy(order).limit(most).union(known.where("toxic = 0").orderBy(order).limit(2 * most))
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= longest)
-    return found.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).orderBy("doc_id").limit(5 * most).select("x.text", "x.toxic")
+    return found.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).orderBy("doc_id").limit(3 * most).select("x.text", "x.toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 8000) -> Tagger:
+def train(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 6000) -> Tagger:
     """A tagger fitted on the bounded sample of ``training_rows``; rows of fold 0 are never used."""
     rows = training_rows(docs, labels, most, longest).collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
@@ -291,7 +305,7 @@ def scorer(tagger: Tagger, threshold: float = 0.5):
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 8000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 6000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, spans.
 
     The chain tags words as toxic or not from features of the word; its transitions carry context. Token labels
@@ -308,7 +322,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 1000, longes
     return out.select("doc_id", "held_out", F.col("tox.score").alias("score"), F.when(F.col("tox.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("tox.spans").alias("spans"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 8000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 6000) -> DataFrame:
     """``docs`` without the rows that ``score_documents`` predicts to be toxic."""
     scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(train(docs, labels, most, longest))("text").alias("tox"))
     return scored.where(F.col("tox.score") < 0.5).select("row.*")
