@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Words kept per Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_BYTES = 600_000, 48
-_MARKS = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
+_MARKS = re.compile(rb"(?=[.,;:!?])(?<=[a-z0-9])")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
