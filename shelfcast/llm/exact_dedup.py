@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import text_of, without_spaces
-from shelfcast.session import pin, shared_folder
+from shelfcast.session import pin, work_folder
 
 #: State lives in RocksDB on the executors' disks, with changes logged to the shared folder, and never expires. Disk is
 #: not reserved ahead, which would cost some MB for each of many small partitions.
@@ -85,7 +85,7 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     columns are not read. ``state`` names the folder of a stream to go on with; without it a new one is made in the
     shared folder.
     """
-    state = state or os.path.join(shared_folder(spark), "shelfcast", f"exact-{uuid.uuid4().hex}")
+    state = state or os.path.join(work_folder(spark), f"exact-{uuid.uuid4().hex}")
     schema_only = spark.read.parquet(path)
     if schema_only.isEmpty():
         empty = schema_only.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
