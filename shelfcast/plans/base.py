@@ -12,16 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcast.operators.etl import clean_inventory, prepare
 from shelfcast.operators.inventory import enrich_base, health
 from shelfcast.operators.supply import enrich_supply
-from shelfcast.session import pin
+from shelfcast.session import file_system, pin, work_folder
 from shelfcast.sources import feeds
 
-_PINNED: dict[tuple[str, str, str], DataFrame] = {}
+_PINNED: dict[tuple[str, str, str, tuple], DataFrame] = {}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def file_state(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and modification time of everything in a folder and one level below."""
+    fs, at = file_system(spark, folder)
+    found = []
+    for x in fs.listStatus(at):
+        for y in fs.listStatus(x.getPath()) if x.isDirectory() else [x]:
+            found.append((y.getPath().toString(), y.getLen(), y.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def pinned(spark: SparkSession, folder: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder, label)
+    """The frame that ``build`` gives, stored once per session and state of the folder's files."""
+    key = (work_folder(spark), folder, label, file_state(spark, folder))
     if key not in _PINNED:
         _PINNED[key] = pin(build(), label)
     return _PINNED[key]
