@@ -19,11 +19,11 @@ def spark():
 def dirty(spark):
     """Five dirty products with known clean values."""
     rows = [
-        ("P001", "Electronics", "$50.00", "100", 10.0, 30.0, "Tokyo Electronics", 5.0),
-        ("P002", "Home", "$25.00", "0", 8.0, 20.0, "Kyoto Crafts", 7.0),
-        ("P003", "Food", "$10.00", "50", 15.0, 40.0, "Hokkaido Foods", 3.0),
-        ("P004", "Office", "$30.00", "-5", 12.0, 25.0, "Osaka Supplies", 10.0),
-        ("P005", "Electronics", "$75.00", "200", 5.0, 50.0, "Tokyo Electronics", 4.0),
+        ("K10", "Garden", "$8.25", "64", 4.0, 12.0, "North Tools", 6.0),
+        ("K11", "Toys", "$40.00", "-2", 3.0, 9.0, "Bright Play", 4.0),
+        ("K12", "Books", "$12.50", "16", 2.5, 10.0, "Page Works", 8.0),
+        ("K13", "Garden", "$150.00", "30", 1.0, 5.0, "North Tools", 10.0),
+        ("K14", "Paint", "$22.00", "0", 6.0, 18.0, "Hue Works", 2.0),
     ]
     from shelfcast.sources.files import RAW_SCHEMA
 

@@ -17,8 +17,8 @@ def by_id(df):
 def test_clean_values(dirty):
     rows = by_id(etl.clean_inventory(dirty))
     want = {
-        "P001": (50, 100, 80, "Normal Stock", 5000), "P002": (25, 0, 76, "Out of Stock", 0), "P003": (10, 50, 85, "Low Stock", 500),
-        "P004": (30, 0, 145, "Out of Stock", 0), "P005": (75, 200, 70, "Normal Stock", 15000),
+        "K10": (8.25, 64, 36, "Normal Stock", 528), "K11": (40, 0, 21, "Out of Stock", 0), "K12": (12.5, 16, 30, "Low Stock", 200),
+        "K13": (150, 30, 15, "Normal Stock", 4500), "K14": (22, 0, 30, "Out of Stock", 0),
     }
     for pid, (cost, stock, point, status, value) in want.items():
         r = rows[pid]
@@ -51,10 +51,12 @@ def test_dirty_rules(spark):
 def test_kpis_and_abc(dirty):
     health = inventory.health(etl.clean_inventory(dirty))
     classes = {r.Product_ID: r.ABC_Class for r in health.collect()}
-    assert classes == {"P001": "C", "P002": "C", "P003": "C", "P004": "C", "P005": "A"}
+    # The largest holds 86 % of the value, beyond class A; the next reaches 96 %, beyond class B.
+    assert classes == {"K10": "C", "K11": "C", "K12": "C", "K13": "B", "K14": "C"}
     k = inventory.kpis(health).head()
-    assert k.total_inventory_value == 20500 and round(k.avg_dsi, 1) == 10.7 and round(k.inventory_turnover, 1) == 34.2
-    assert k.oos_rate == 40.0 and k.slow_moving_value == 0 and (k.abc_a_count, k.abc_b_count, k.abc_c_count) == (1, 0, 4)
+    days = (64 / 4 + 16 / 2.5 + 30 / 1) / 5
+    assert k.total_inventory_value == 5228 and k.avg_dsi == pytest.approx(days) and k.inventory_turnover == pytest.approx(365 / days)
+    assert k.oos_rate == 40.0 and k.slow_moving_value == 0 and (k.abc_a_count, k.abc_b_count, k.abc_c_count) == (0, 1, 4)
 
 
 def test_abc_does_not_multiply_duplicates(dirty):
@@ -63,9 +65,9 @@ def test_abc_does_not_multiply_duplicates(dirty):
 
 
 def test_order_quantity(dirty):
-    row = by_id(supply.enrich_supply(etl.clean_inventory(dirty)))["P001"]
-    assert row.EOQ == pytest.approx(math.sqrt(2 * 3650 * 50 / 12.5))
-    assert row.Total_Inventory_Cost == pytest.approx(math.sqrt(2 * 3650 * 50 * 12.5))
+    row = by_id(supply.enrich_supply(etl.clean_inventory(dirty)))["K10"]
+    assert row.EOQ == pytest.approx(math.sqrt(2 * 1460 * 50 / 2.0625))
+    assert row.Total_Inventory_Cost == pytest.approx(math.sqrt(2 * 1460 * 50 * 2.0625))
 
 
 def test_simulation_is_repeatable(dirty):
