@@ -24,7 +24,6 @@ MONTE_CARLO_TRIALS = 5000
 # Forecasting
 FEATURE_LAGS = (1, 7, 14, 28)
 NAIVE_WINDOW = 30
-ZERO_SHOT_MAX_HORIZON = 14
 COLD_START_DAYS = 60
 INTERMITTENT_SHARE = 0.5
 SERVING_INTERMITTENT_SHARE = 0.3

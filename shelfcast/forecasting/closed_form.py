@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfcast.constants import EWM_LOOKBACK, N_HARMONICS, NAIVE_WINDOW, SEASON_PERIOD, ZERO_SHOT_MAX_HORIZON
+from shelfcast.constants import EWM_LOOKBACK, N_HARMONICS, NAIVE_WINDOW, SEASON_PERIOD
 
 SERIES = ("unique_id",)
 
@@ -43,8 +43,8 @@ def naive(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES, window:
 
 
 def zero_shot(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES) -> DataFrame:
-    """For series without history: mean of the last 30 values, never further than 14 days ahead."""
-    return naive(demand, min(horizon, ZERO_SHOT_MAX_HORIZON), keys, 30)
+    """For series without history: mean of the last 30 values."""
+    return naive(demand, horizon, keys, 30)
 
 
 def weighted_trend(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES, lookback: int = EWM_LOOKBACK) -> DataFrame:

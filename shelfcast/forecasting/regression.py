@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfcast.constants import SEASON_PERIOD
-from shelfcast.forecasting.closed_form import SERIES, positions
+from shelfcast.forecasting.closed_form import SERIES, naive, positions
 from shelfcast.functions.calendar import day_of_week
 
 RIDGE_FEATURES = ("t", "dow", "month", "lag1", "lag7")
@@ -97,8 +97,9 @@ def ridge(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES, penalty
 def seasonal_ar(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES) -> DataFrame:
     """Autoregression on values differenced by one day and one week, with lags of one day and one week.
 
-    Least squares from three product sums per lag; series under fourteen days give no forecast.
+    Least squares from three product sums per lag. Series under fourteen days get the mean of their values instead.
     """
+    short = positions(demand, keys).where(F.col("n") < AR_MIN_DAYS).select(*keys, "ds", "y")
     series = Window.partitionBy(*keys).orderBy("ds")
 
     def back(n: int):
@@ -136,4 +137,4 @@ def seasonal_ar(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES) -
                 y, z = np.column_stack([y, ny]), np.column_stack([z, nz])
             yield roll_forward(pdf, keys, horizon, path)
 
-    return fits.mapInPandas(solve, forecast_schema(demand, keys))
+    return fits.mapInPandas(solve, forecast_schema(demand, keys)).unionByName(naive(short, horizon, keys).select(*keys, "ds", "y_hat"))

@@ -18,26 +18,49 @@ from pyspark.ml.classification import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.learning import neighbours
 from shelfcast.learning.prepare import CLASSIFICATION_FEATURES, scaled
 from shelfcast.session import pin
 
 
-def classifiers(n_features: int = len(CLASSIFICATION_FEATURES), n_classes: int = 3, size: float = 1.0) -> dict:
-    """Estimators by name. ``size`` scales the number of trees and iterations."""
-    def count(n: int) -> int:
-        return max(2, int(n * size))
-
+def classifiers(n_features: int = len(CLASSIFICATION_FEATURES), n_classes: int = 3) -> dict:
+    """All models of the comparison by name."""
     return {
-        "Logistic Regression": LogisticRegression(maxIter=count(1000) if size >= 1 else count(200)),
+        "Logistic Regression": LogisticRegression(maxIter=1000),
         "Decision Tree": DecisionTreeClassifier(maxDepth=10, seed=42),
-        "Random Forest": RandomForestClassifier(numTrees=count(100), seed=42),
-        "SVM": OneVsRest(classifier=LinearSVC(maxIter=count(100))),
+        "Random Forest": RandomForestClassifier(numTrees=100, seed=42),
+        "SVM": OneVsRest(classifier=LinearSVC(maxIter=100)),
         "Naive Bayes": NaiveBayes(modelType="gaussian"),
-        "Gradient Boosting": OneVsRest(classifier=GBTClassifier(maxIter=count(100), maxDepth=3, seed=42)),
-        "MLP (ANN)": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, n_classes], maxIter=count(300), seed=42),
+        "Gradient Boosting": OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=3, seed=42)),
+        "MLP (ANN)": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, n_classes], maxIter=300, seed=42),
+        "KNN": Neighbours(),
+        "AdaBoost": SteppedTrees(classes=n_classes),
     }
 
 
+class Neighbours:
+    """k nearest neighbours as a model: the labelled rows are held, and unlabelled ones vote by them."""
+
+    def __init__(self, k: int = 7):
+        self.k, self.train = k, None
+
+    def fit(self, train: DataFrame) -> Neighbours:
+        self.train = train
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return neighbours.vote(neighbours.nearest(self.train, df, k=self.k), df)
+
+
+def fit_scaled(estimator, train: DataFrame):
+    """A function from rows to rows with predictions: scaler and model fitted on ``train``."""
+    if isinstance(estimator, (Neighbours, SteppedTrees)):
+        scaler = scaled(None).fit(train)
+        model = estimator.fit(scaler.transform(train))
+        return lambda df: model.transform(scaler.transform(df))
+    return scaled(estimator).fit(train).transform
+
+
 def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg((F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))).alias("accuracy"))
 
@@ -46,7 +69,7 @@ def compare(train: DataFrame, test: DataFrame, models: dict) -> DataFrame:
     """Test accuracy of each model, one row per model."""
     out = None
     for name, estimator in models.items():
-        part = accuracy(scaled(estimator).fit(train).transform(test)).select(F.lit(name).alias("model"), "accuracy")
+        part = accuracy(fit_scaled(estimator, train)(test)).select(F.lit(name).alias("model"), "accuracy")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -56,8 +79,8 @@ def cross_validate(train: DataFrame, models: dict, folds: int = 5) -> DataFrame:
     out = None
     for name, estimator in models.items():
         for k in range(folds):
-            fitted = scaled(estimator).fit(train.where(F.col("fold") != k))
-            part = accuracy(fitted.transform(train.where(F.col("fold") == k))).select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "accuracy")
+            predict = fit_scaled(estimator, train.where(F.col("fold") != k))
+            part = accuracy(predict(train.where(F.col("fold") == k))).select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "accuracy")
             out = part if out is None else out.unionByName(part)
     return out.groupBy("model").agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
 
@@ -91,7 +114,7 @@ class SteppedTrees:
         self.members: list = []
 
     def fit(self, train: DataFrame) -> SteppedTrees:
-        rows = pin(train.select("features", "label", F.lit(1.0).alias("weight")), "boost")
+        rows, self.members = pin(train.select("features", "label", F.lit(1.0).alias("weight")), "boost"), []
         for i in range(self.rounds):
             tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="weight", seed=self.seed).fit(rows)
             scored = tree.transform(rows).select(

@@ -11,12 +11,11 @@ from shelfcast.learning.prepare import scaled
 from shelfcast.operators.statistics import adjusted_skew
 
 
-def regressors(size: float = 1.0) -> dict:
-    n = max(2, int(100 * size))
+def regressors() -> dict:
     return {
         "Linear Regression": LinearRegression(),
-        "RF Regressor": RandomForestRegressor(numTrees=n, seed=42),
-        "GB Regressor": GBTRegressor(maxIter=n, maxDepth=3, seed=42),
+        "RF Regressor": RandomForestRegressor(numTrees=100, seed=42),
+        "GB Regressor": GBTRegressor(maxIter=100, maxDepth=3, seed=42),
     }
 
 
@@ -32,6 +31,11 @@ def compare(predicted: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, r2 double, rmse double")
 
 
+def best(scores: DataFrame) -> str:
+    """Name of the model with the highest r2."""
+    return scores.orderBy(F.col("r2").desc(), "model").first()["model"]
+
+
 def residual_summary(predicted: DataFrame) -> DataFrame:
     r = predicted.select((F.col("label") - F.col("prediction")).alias("r"))
     return r.agg(

@@ -19,13 +19,12 @@ def nest(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
 
 
-def stage_functions(signals: DataFrame | None, model_size: float) -> dict[str, Callable[[DataFrame, DataFrame], DataFrame]]:
+def stage_functions(signals: DataFrame | None) -> dict[str, Callable[[DataFrame, DataFrame], DataFrame]]:
     """Stage name to a function of (prepared feed, clean snapshot) giving one result row."""
     def ml(_, clean: DataFrame) -> DataFrame:
         rows = prepare.frame(prepare.encode(clean), prepare.CLASSIFICATION_FEATURES, "Stock_Status_Enc")
         train, test = prepare.train_test(rows)
-        models = classify.classifiers(size=model_size)
-        scores = classify.compare(train, test, {n: models[n] for n in ("Decision Tree", "Random Forest", "Naive Bayes")})
+        scores = classify.compare(train, test, classify.classifiers())
         saved = multipliers.savings(multipliers.best_multipliers(multipliers.category_means(clean)))
         return nest(scores, "classification").withColumn("savings", saved.select("savings").scalar())
 
@@ -63,7 +62,7 @@ def stage_functions(signals: DataFrame | None, model_size: float) -> dict[str, C
 
 
 def run_batch(
-    raw: DataFrame, batch_id: str, folder: str, signals: DataFrame | None = None, source_file: str = "", model_size: float = 1.0,
+    raw: DataFrame, batch_id: str, folder: str, signals: DataFrame | None = None, source_file: str = "",
     stages: dict[str, Callable] | None = None,
 ) -> DataFrame:
     """Run all stages in order and give the run's status rows, which are also stored.
@@ -71,7 +70,7 @@ def run_batch(
     The first stage that fails ends the run; its name and error are recorded and later stages stay unrun.
     """
     spark: SparkSession = raw.sparkSession
-    steps = stages or stage_functions(signals, model_size)
+    steps = stages or stage_functions(signals)
     rows, failed = [], None
     prepared = clean = None
     for number, name in enumerate(STAGES, 1):
@@ -83,7 +82,7 @@ def run_batch(
             append_result(steps[name](prepared, clean), f"{folder}/results", batch_id, name)
             rows.append((batch_id, source_file, name, "completed", number * 100 // len(STAGES), None))
         except Exception as error:  # noqa: BLE001 - any stage error is recorded and ends the run
-            failed = (batch_id, source_file, name, "failed", (number - 1) * 100 // len(STAGES), str(error)[:500])
+            failed = (batch_id, source_file, name, "failed", (number - 1) * 100 // len(STAGES), str(error))
             break
     status = spark.createDataFrame(
         rows + ([failed] if failed else []),

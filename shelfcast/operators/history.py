@@ -60,8 +60,10 @@ def latest_kpis(runs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def kpi_history(runs: DataFrame, results: DataFrame, limit: int = 20) -> DataFrame:
-    """Statistics results of the newest completed runs, with the KPI values parsed; limit is kept in 1..100."""
-    n = max(1, min(limit, 100))
+    """Statistics results of the newest ``limit`` completed runs, with the KPI values parsed; at most 100 can be asked for."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    n = limit
     joined = runs.where("status = 'completed'").join(analysis_of(results, "stats"), "batch_id")
     newest = joined.orderBy(F.col("completed_at").desc(), "batch_id").limit(n)
     kpi = F.from_json("result_json", "units long, value string")
@@ -71,8 +73,10 @@ def kpi_history(runs: DataFrame, results: DataFrame, limit: int = 20) -> DataFra
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
-    """One page in a total order, never more than 10 000 rows."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(min(limit, 10_000))
+    """One page in a total order; at most 10 000 rows can be asked for."""
+    if offset < 0 or not 0 <= limit <= 10_000:
+        raise ValueError("offset must not be negative and limit must be 0 to 10 000")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def audit_query(

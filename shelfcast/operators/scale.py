@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +106,9 @@ def exact_quantiles(
     ``level`` may move a probability by less than two ranks depending on the number of values.
 
     A sketch of bounded size gives fences around every wanted rank. Values outside the fences only count, values
-    inside keep their identity, so the second aggregation shuffles a sliver of the data and no task ever holds a
-    whole group. A rank outside its fence would break the sketch's error bound and raises.
+    inside keep their identity, so the second aggregation shuffles a sliver of the data. The cells are summed up by
+    ``running_totals``, so one group with most of them spreads over tasks. Should a rank ever fall outside its fence, all
+    values are counted instead; the result is exact either way.
     """
     by = list(by)
     probs = list(probabilities.items())
@@ -131,43 +133,39 @@ def exact_quantiles(
         inside = inside | F.col("v").between(lo, hi)
         below.append(F.when(hi < F.col("v"), hi))
     under = F.coalesce(F.greatest(*below) if len(below) > 1 else below[0], F.lit(float("-inf")))
-    cells = (
-        fenced.select(
-            *by,
-            F.when(inside, F.col("v")).otherwise(under).alias("at"),
-            F.when(inside, 0).otherwise(1).alias("gap"),
-        )
-        .groupBy(*by, "at", "gap")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    whole = Window.partitionBy(*by)
-    ordered = whole.orderBy("at", "gap")
-    placed = cells.withColumn("last", F.sum("c").over(ordered)).withColumn("total", F.sum("c").over(whole))
-    first = F.col("last") - F.col("c")
+    cells = fenced.select(*by, F.when(inside, F.col("v")).otherwise(under).alias("at"), F.when(inside, 0).otherwise(1).alias("gap"))
+    got = pin(_picked(cells, by, probs, level), "quantiles")
+    missed = reduce(lambda a, b: a | b, [F.col(f"lo_{n}").isNull() | F.col(f"hi_{n}").isNull() for n, _ in probs])
+    if not got.where((F.col("total") > 0) & missed).isEmpty():
+        got = _picked(src.select(*by, F.col("v").alias("at"), F.lit(0).alias("gap")), by, probs, level)
+    out = []
+    for name, p in probs:
+        spot, lo, hi = _spot(p, level), F.col(f"lo_{name}"), F.col(f"hi_{name}")
+        out.append((lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
+    return got.select(*by, *out)
+
+
+def _spot(p: float, level) -> Column:
+    exact = F.lit(float(p)) if level is None else level(p, F.col("total").cast("double"))
+    return (F.col("total") - 1) * exact
+
+
+def _picked(values: DataFrame, by: list[str], probs: list[tuple[str, float]], level) -> DataFrame:
+    """(by, total, lo_, hi_ per probability): the values at the ranks around each quantile, null where a gap holds them."""
+    cells = values.groupBy(*by, "at", "gap").agg(F.count(F.lit(1)).alias("c"))
+    placed = running_totals(cells, [F.col("at"), F.col("gap")], {"last": F.col("c")}, by=by)
+    sums = placed.groupBy(*by).agg(F.max("last").alias("total"))
+    placed = placed.join(sums, by) if by else placed.withColumn("total", sums.select("total").scalar())
 
     def at_rank(rank: Column) -> Column:
-        hit = (rank > first) & (rank <= F.col("last"))
+        hit = (rank > F.col("last") - F.col("c")) & (rank <= F.col("last"))
         return F.max(F.when(hit & (F.col("gap") == 0), F.col("at")))
 
-    def spot_of(p: float) -> Column:
-        exact = F.lit(float(p)) if level is None else level(p, F.col("total").cast("double"))
-        return (F.col("total") - 1) * exact
-
     picks = []
     for name, p in probs:
-        spot = spot_of(p)
-        low = F.floor(spot) + 1
-        high = F.least(low + 1, F.col("total"))
-        picks += [at_rank(low).alias(f"lo_{name}"), at_rank(high).alias(f"hi_{name}")]
-    got = placed.groupBy(*by).agg(F.max("total").alias("total"), *picks)
-    out = []
-    for name, p in probs:
-        spot = spot_of(p)
-        lo, hi = F.col(f"lo_{name}"), F.col(f"hi_{name}")
-        missed = (F.col("total") > 0) & (lo.isNull() | hi.isNull())
-        result = lo + (spot - F.floor(spot)) * (hi - lo)
-        out.append(F.when(missed, F.raise_error(F.lit("quantile outside its fence"))).otherwise(result).alias(name))
-    return got.select(*by, *out)
+        low = F.floor(_spot(p, level)) + 1
+        picks += [at_rank(low).alias(f"lo_{name}"), at_rank(F.least(low + 1, F.col("total"))).alias(f"hi_{name}")]
+    return placed.groupBy(*by).agg(F.max("total").alias("total"), *picks)
 
 
 def quantile_row(df: DataFrame, value: Column, probabilities: dict[str, float]) -> Column:

@@ -131,8 +131,8 @@ def value_composition(df: DataFrame) -> DataFrame:
     return cells.withColumn("value_pct", F.col("value") / whole * 100)
 
 
-def simulation_parameters(clean: DataFrame, top: int | None = 6) -> DataFrame:
-    """Demand and lead-time moments per category, for the categories with most value."""
+def simulation_parameters(clean: DataFrame, top: int | None = None) -> DataFrame:
+    """Demand and lead-time moments per category, or only of the ``top`` categories by value."""
     moving = F.col("Daily_Demand_Est") > 0
 
     def when_moving(fn, c):

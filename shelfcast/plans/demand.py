@@ -14,9 +14,6 @@ from shelfcast.sources import feeds
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Trees in the registered boosted queries; the presets of the library are larger.
-QUERY_TREES = {"iterations": 10, "depth": 5, "rate": 0.1}
-
 
 def register(name: str, oracle: str | None = None):
     def add(fn: Query) -> Query:
@@ -191,7 +188,7 @@ def _(spark, folder):
     return forecast_view(closed_form.naive(base.brand_demand(spark, folder), HORIZON))
 
 
-@register("forecast_zero_shot", sql(NAIVE, f"SELECT unique_id, {DS}, round(y_hat, 4) AS y_hat FROM naive"))
+@register("forecast_zero_shot", sql(NAIVE.replace("range(1, 15)", "range(1, 31)"), f"SELECT unique_id, {DS}, round(y_hat, 4) AS y_hat FROM naive"))
 def _(spark, folder):
     return forecast_view(closed_form.zero_shot(base.brand_demand(spark, folder), 30))
 
@@ -253,12 +250,12 @@ def _(spark, folder):
 @register("forecast_boosted_trees")
 def _(spark, folder):
     y = base.brand_demand(spark, folder)
-    return forecast_view(trees.predict(trees.fit(y, **QUERY_TREES), y, HORIZON))
+    return forecast_view(trees.predict(trees.fit(y, **trees.PRESETS["lightgbm"]), y, HORIZON))
 
 
 @register("tree_importances")
 def _(spark, folder):
-    return trees.importances(trees.fit(base.brand_demand(spark, folder), **QUERY_TREES), spark)
+    return trees.importances(trees.fit(base.brand_demand(spark, folder), **trees.PRESETS["lightgbm"]), spark)
 
 
 # The newest 45 days of some series stand for products without history.
@@ -295,8 +292,7 @@ def _(spark, folder):
 
 @register("routed_forecast")
 def _(spark, folder):
-    models = {"lightgbm": closed_form.trend_harmonics}
-    return forecast_view(registry.routed_forecast(mixed_demand(spark, folder), HORIZON, models=models), "model")
+    return forecast_view(registry.routed_forecast(mixed_demand(spark, folder), HORIZON), "model")
 
 
 @register("forecast_bands", sql(NAIVE, f"SELECT unique_id, {DS}, round(y_hat, 4) AS y_hat, round(y_hat - 1.96 * sd, 4) AS lower, round(y_hat + 1.96 * sd, 4) AS upper FROM naive"))

@@ -1,4 +1,4 @@
-"""Registered queries: learning on the inventory snapshot. Tree counts are smaller than the library's defaults."""
+"""Registered queries: learning on the inventory snapshot, with the library's presets."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from shelfcast.plans.base import CLEAN, ENRICHED, Query, sql
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-SIZE = 0.1
 
 
 def register(name: str, oracle: str | None = None):
@@ -67,27 +66,30 @@ def _(spark, folder):
 
 @register("classifier_accuracy")
 def _(spark, folder):
-    return classify.compare(*class_rows(spark, folder), classify.classifiers(size=SIZE))
+    return classify.compare(*class_rows(spark, folder), classify.classifiers())
 
 
 @register("classifier_cross_validation")
 def _(spark, folder):
     train, _ = class_rows(spark, folder)
-    models = classify.classifiers(size=SIZE)
-    return classify.cross_validate(train, {n: models[n] for n in ("Decision Tree", "Naive Bayes")})
+    return classify.cross_validate(train, classify.classifiers())
 
 
 @register("classifier_confusion")
 def _(spark, folder):
     train, test = class_rows(spark, folder)
-    return classify.confusion(prepare.scaled(classify.classifiers(size=SIZE)["Random Forest"]).fit(train).transform(test))
+    models = classify.classifiers()
+    scores = classify.compare(train, test, models)
+    three = [r["model"] for r in scores.orderBy(F.col("accuracy").desc(), "model").limit(3).collect()]
+    parts = [classify.confusion(classify.fit_scaled(models[n], train)(test)).withColumn("model", F.lit(n)) for n in three]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("classifier_importances")
 def _(spark, folder):
     train, _ = class_rows(spark, folder)
-    models, out = classify.classifiers(size=SIZE), None
-    for name in ("Decision Tree", "Random Forest", "Logistic Regression"):
+    models, out = classify.classifiers(), None
+    for name in ("Random Forest", "Gradient Boosting", "Decision Tree", "Logistic Regression"):
         part = classify.importances(prepare.scaled(models[name]).fit(train), spark).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -97,7 +99,7 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = class_rows(spark, folder)
     scaler = prepare.scaled(None).fit(train)
-    model = classify.SteppedTrees(rounds=10).fit(scaler.transform(train))
+    model = classify.SteppedTrees().fit(scaler.transform(train))
     return classify.confusion(model.transform(scaler.transform(test)))
 
 
@@ -118,7 +120,7 @@ def _(spark, folder):
 
 def value_predictions(spark, folder):
     rows = prepare.frame(encoded(spark, folder), prepare.REGRESSION_FEATURES, "Inventory_Value")
-    return regress.predictions(*prepare.train_test(rows), regress.regressors(SIZE))
+    return regress.predictions(*prepare.train_test(rows), regress.regressors())
 
 
 @register("regression_scores")
@@ -128,7 +130,8 @@ def _(spark, folder):
 
 @register("regression_residuals")
 def _(spark, folder):
-    return regress.residual_summary(value_predictions(spark, folder)["GB Regressor"])
+    predicted = value_predictions(spark, folder)
+    return regress.residual_summary(predicted[regress.best(regress.compare(predicted))])
 
 
 @register("kmeans_search")
@@ -169,13 +172,13 @@ def _(spark, folder):
 @register("anomaly_flags")
 def _(spark, folder):
     train, test = prepare.train_test(points(spark, folder))
-    return anomaly.detect(train, test, trees=50)
+    return anomaly.detect(train, test)
 
 
 @register("anomaly_agreement")
 def _(spark, folder):
     train, test = prepare.train_test(points(spark, folder))
-    return anomaly.agreement(anomaly.detect(train, test, trees=50))
+    return anomaly.agreement(anomaly.detect(train, test))
 
 
 @register("anomaly_feature_ratios")

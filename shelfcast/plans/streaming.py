@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.constants import LATENCY_BUCKETS
 from shelfcast.plans import base
 from shelfcast.plans.base import BRAND, Query, sql
 from shelfcast.plans.planning import LOG, SIGNALS, daily_errors, stamp, stamp_sql
-from shelfcast.session import shared_folder
+from shelfcast.session import work_folder
 from shelfcast.sources import feeds
 from shelfcast.streaming import jobs
 
@@ -31,7 +31,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), "shelfcast", f"stream-{name}-{uuid.uuid4().hex}")
+    return os.path.join(work_folder(spark), f"stream-{name}-{uuid.uuid4().hex}")
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,64 +55,60 @@ def streamed_signals(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.signal_columns(stream_table(spark, folder, "events"))
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Session settings for the start of a stream, put back afterwards."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def stream_session(spark: SparkSession, keyed_state: bool = False) -> SparkSession:
+    """A session for one stream, so that its settings touch nothing else.
 
-
-def state_settings(spark: SparkSession, keyed_state: bool = False) -> dict[str, str]:
-    """One state partition per core at most: each one is a store of its own (and a Python worker for keyed state)."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = {"spark.sql.shuffle.partitions": str(min(parts, max(8, spark.sparkContext.defaultParallelism)))}
+    ``spark.shelfcast.statePartitions`` sets the number of state partitions where it should differ from the shuffles'.
+    """
+    own = spark.newSession()
+    parts = spark.conf.get("spark.shelfcast.statePartitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", parts)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     if keyed_state:
-        out["spark.sql.streaming.stateStore.providerClass"] = jobs.STATE_STORE
-    return out
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    return own
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(spark: SparkSession, stream_of, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """Run a windowed job over what is there, and give the newest row of every window, also of those still open."""
     out = scratch(spark, name)
-    with settings(spark, **state_settings(spark)):
-        jobs.to_table(stream, out, scratch(spark, f"{name}-ckpt"), mode).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    stream = stream_of(stream_session(spark))
+    jobs.start(stream, lambda df, epoch: jobs.write_batch(df, epoch, out), scratch(spark, f"{name}-ckpt"), True, "update").awaitTermination()
+    rows = spark.read.option("basePath", out).parquet(f"{out}/epoch=*")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "epoch").alias("v"))
+    return newest.select(*keys, "v.*")
 
 
 def keyed(spark: SparkSession, stream_of, name: str, mode: str = "append") -> DataFrame:
     """Drain a keyed-state job; it needs the RocksDB store."""
-    with settings(spark, **state_settings(spark, keyed_state=True)):
-        stream = stream_of()
-        out, ckpt = scratch(spark, name), scratch(spark, f"{name}-ckpt")
-        jobs.start(stream, lambda df, epoch: jobs.write_batch(df, epoch, out), ckpt, True, mode).awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{out}/epoch=*")
+    stream = stream_of(stream_session(spark, keyed_state=True))
+    out, ckpt = scratch(spark, name), scratch(spark, f"{name}-ckpt")
+    jobs.start(stream, lambda df, epoch: jobs.write_batch(df, epoch, out), ckpt, True, mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/epoch=*")
+
+
+BUCKETS = ", ".join(f"count(*) FILTER (duration_ms <= {e * 1000}) AS le_{i}" for i, e in enumerate(LATENCY_BUCKETS))
 
 
-@register("stream_request_metrics", sql(LOG, f"""SELECT {stamp_sql('slot')}, requests, errors, round(errors / requests, 6) AS error_rate FROM hw
-WHERE hw.slot + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE"""))
+@register("stream_request_metrics", sql(LOG, f""", b AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS slot, {BUCKETS} FROM log GROUP BY 1)
+SELECT {stamp_sql('slot')}, requests, errors, round(errors / requests, 6) AS error_rate, COLUMNS('le_.*') FROM (SELECT * FROM hw JOIN b USING (slot))"""))
 def _(spark, folder):
-    out = drain(spark, jobs.request_metrics(streamed_log(spark, folder)), "metrics")
-    return out.select(stamp("slot"), "requests", "errors", F.round("error_rate", 6).alias("error_rate"))
+    out = drain(spark, lambda own: jobs.request_metrics(streamed_log(own, folder)), "metrics", ("slot",))
+    return out.select(stamp("slot"), "requests", "errors", F.round("error_rate", 6).alias("error_rate"), *[f"le_{i}" for i in range(len(LATENCY_BUCKETS))])
 
 
 @register("stream_busy_clients", sql(LOG, """, s AS (SELECT user_id, time_bucket(INTERVAL 10 SECOND, ts) - to_seconds((k * 10)::BIGINT) AS slot FROM log, range(6) r(k))
-SELECT user_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, count(*) AS requests FROM s WHERE s.slot + INTERVAL 60 SECOND <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE
-GROUP BY user_id, s.slot HAVING count(*) > 1"""))
+SELECT user_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, count(*) AS requests FROM s GROUP BY user_id, s.slot HAVING count(*) > 1"""))
 def _(spark, folder):
-    out = drain(spark, jobs.busy_clients(streamed_log(spark, folder), limit=1), "clients")
+    out = drain(spark, lambda own: jobs.busy_clients(streamed_log(own, folder), limit=1), "clients", ("user_id", "slot"))
     return out.select("user_id", stamp("slot"), "requests")
 
 
 @register("stream_daily_signals", sql(SIGNALS, """, e AS (SELECT s.*, e.ts FROM signals s JOIN events e USING (event_id))
 SELECT product_id, source, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(signal_value), 2) AS total FROM e
-WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY product_id, source, time_bucket(INTERVAL 1 DAY, ts)"""))
+GROUP BY product_id, source, time_bucket(INTERVAL 1 DAY, ts)"""))
 def _(spark, folder):
-    out = drain(spark, jobs.daily_signals(streamed_signals(spark, folder)), "signals")
+    out = drain(spark, lambda own: jobs.daily_signals(streamed_signals(own, folder)), "signals", ("product_id", "source", "day"))
     return out.select("product_id", "source", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.round("total", 2).alias("total"))
 
 
@@ -135,7 +131,7 @@ s AS (SELECT model, ds, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY
 SELECT model, strftime(ds, '%Y-%m-%d') AS ds, streak, CASE WHEN streak >= 7 THEN 'AUTO_RETRAIN' ELSE 'MONITOR' END AS action FROM s"""))
 def _(spark, folder):
     daily = daily_errors(spark, folder).withColumn("ds", F.col("ds").cast("timestamp"))
-    out = keyed(spark, lambda: jobs.breach_streaks(stream_files(spark, daily, "daily")), "streaks")
+    out = keyed(spark, lambda own: jobs.breach_streaks(stream_files(own, daily, "daily")), "streaks")
     return out.select("model", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "streak", "action")
 
 
@@ -145,7 +141,7 @@ LATEST = sql(BRAND, "SELECT unique_id, strftime(max(ds), '%Y-%m-%d') AS ds, arg_
 @register("stream_latest_values", LATEST)
 def _(spark, folder):
     demand = base.brand_demand(spark, folder).withColumn("ds", F.col("ds").cast("timestamp"))
-    out = keyed(spark, lambda: jobs.latest_values(stream_files(spark, demand, "demand")), "latest", "update")
+    out = keyed(spark, lambda own: jobs.latest_values(stream_files(own, demand, "demand")), "latest", "update")
     newest = out.groupBy("unique_id").agg(F.max_by(F.struct("ds", "y"), "ds").alias("v"))
     return newest.select("unique_id", F.date_format("v.ds", "yyyy-MM-dd").alias("ds"), "v.y")
 
@@ -175,4 +171,4 @@ def _(spark, folder):
 def _(spark, folder):
     from shelfcast.operators.batch import run_batch
 
-    return run_batch(base.raw(spark, folder), "batch_0001", scratch(spark, "batch"), feeds.demand_signals(spark, folder), model_size=0.05)
+    return run_batch(base.raw(spark, folder), "batch_0001", scratch(spark, "batch"), feeds.demand_signals(spark, folder))

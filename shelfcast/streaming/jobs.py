@@ -109,7 +109,10 @@ def daily_signals(signals: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def spike_alerts(signals: DataFrame, history: str, alerts: str, checkpoint: str, days: int = 14, sigma: float = K.SPIKE_SIGMA, once: bool = True) -> StreamingQuery:
-    """Compare each signal with the last days of its product. Only day sums are kept, so history stays small."""
+    """Compare each signal with the last days of its product.
+
+    Only day sums are kept, in one partition per day and batch; a batch reads the partitions of the last ``days`` alone.
+    """
     v = F.col("signal_value")
 
     def handle(batch: DataFrame, epoch: int) -> None:
@@ -117,10 +120,14 @@ def spike_alerts(signals: DataFrame, history: str, alerts: str, checkpoint: str,
         sums = batch.groupBy("product_id", F.to_date("ts").alias("day")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares")
         )
-        write_batch(sums, epoch, history)
-        kept = spark.read.schema("product_id string, day date, n long, total double, squares double").parquet(f"{history}/epoch=*")
-        newest = kept.agg(F.max("day")).scalar()
-        m = kept.where(F.col("day") > F.date_sub(newest, days)).groupBy("product_id").agg(
+        parts = sums.withColumn("epoch", F.lit(epoch)).write.partitionBy("day", "epoch").option("partitionOverwriteMode", "dynamic")
+        parts.mode("overwrite").parquet(history)
+        seen = sums.agg(F.max("day").alias("day")).first()["day"]
+        if seen is None:
+            return
+        kept = spark.read.schema("product_id string, n long, total double, squares double, day date, epoch long").parquet(history)
+        newest = kept.where(F.col("day") >= F.lit(seen)).agg(F.max("day")).first()[0]
+        m = kept.where(F.col("day") > F.date_sub(F.lit(newest), days)).groupBy("product_id").agg(
             F.sum("n").alias("n"), F.sum("total").alias("s1"), F.sum("squares").alias("s2")
         ).where("n >= 2")
         sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)))

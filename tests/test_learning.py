@@ -22,13 +22,13 @@ def test_nearest_equals_brute_force(cloud):
     x, _, df = cloud
     train, queries = df.where("Product_ID < 'p0500'"), df.where("Product_ID >= 'p0500'")
     got = {}
-    for r in neighbours.nearest(train, queries, k=7, pivots=5, block=40).collect():
+    for r in neighbours.nearest(train, queries, k=7).collect():
         got.setdefault(r["query"], []).append((r.distance, r.neighbour))
     assert len(got) == len(x) - 500
     for q, found in got.items():
         d = np.sqrt(((x[:500] - x[int(q[1:])]) ** 2).sum(axis=1))
         np.testing.assert_allclose(sorted(v for v, _ in found), np.sort(d)[:7], atol=1e-9)
-    votes = neighbours.vote(neighbours.nearest(train, queries, pivots=5), queries)
+    votes = neighbours.vote(neighbours.nearest(train, queries), queries)
     assert votes.where("prediction <> label and label < 2").count() == 0
 
 
