@@ -111,10 +111,15 @@ def compare_methods(actual: DataFrame, first: DataFrame, second: DataFrame, targ
     return one.withColumn("improvement_pct", gain).withColumn("target_met", F.col("improvement_pct") >= target)
 
 
-def incoherent_days(rolled: DataFrame, value: str = "y", tolerance: float = 0.01) -> DataFrame:
-    """Days on which the national value differs from the sum of its warehouses."""
+def coherence(rolled: DataFrame, value: str = "y", tolerance: float = 0.01) -> DataFrame:
+    """The national value and the sum of the warehouses on every day, and whether they agree."""
     per_day = rolled.groupBy("ds").agg(
         F.sum(F.when(F.col("level") == "national", F.col(value))).alias("national"),
         F.sum(F.when(F.col("level") == "warehouse", F.col(value))).alias("warehouses"),
     )
-    return per_day.where(F.abs(F.col("national") - F.col("warehouses")) > tolerance)
+    return per_day.withColumn("coherent", F.abs(F.col("national") - F.col("warehouses")) <= tolerance)
+
+
+def incoherent_days(rolled: DataFrame, value: str = "y", tolerance: float = 0.01) -> DataFrame:
+    """Days on which the national value differs from the sum of its warehouses."""
+    return coherence(rolled, value, tolerance).where(~F.col("coherent"))

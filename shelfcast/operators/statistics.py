@@ -259,8 +259,8 @@ def ols_band(line: DataFrame, points: int = 100) -> DataFrame:
     at = F.col("x_min") + F.col("step") * (F.col("x_max") - F.col("x_min")) / (points - 1)
     grid = grid.withColumn("at", at)
     fit = F.col("slope") * F.col("at") + F.col("intercept")
-    # The half width uses the slope's standard error as published: se * sqrt(1/n + (x - mean)^2 / sxx).
-    half = F.col("t") * F.col("std_err") * F.sqrt(1 / F.col("n") + F.pow(F.col("at") - F.col("x_mean"), 2) / F.col("sxx"))
+    residual = F.col("std_err") * F.sqrt("sxx")
+    half = F.col("t") * residual * F.sqrt(1 / F.col("n") + F.pow(F.col("at") - F.col("x_mean"), 2) / F.col("sxx"))
     return grid.select("x", "y", "step", "at", fit.alias("fit"), (fit - half).alias("lo"), (fit + half).alias("hi"))
 
 

@@ -474,10 +474,13 @@ def _(spark, folder):
     return hierarchy.aggregate_levels(feeds.demand_of(facts), feeds.static_of(facts)).select("level", "unique_id", day(), "y")
 
 
-@register("hierarchy_coherence", sql(SKU, "SELECT '1995-01-01' AS ds, 0.0 AS national, 0.0 AS warehouses WHERE false"))
+@register("hierarchy_coherence", sql(SKU, """SELECT strftime(ds, '%Y-%m-%d') AS ds, round(n, 2) AS national, round(w, 2) AS warehouses, abs(n - w) <= 0.01 AS coherent
+FROM (SELECT CAST(l_shipdate AS DATE) AS ds, sum(l_quantity) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
+JOIN (SELECT ds, sum(v) AS w FROM (SELECT ds, warehouse, sum(y) AS v FROM facts GROUP BY 1, 2) GROUP BY 1) USING (ds)"""))
 def _(spark, folder):
     facts = base.sku_facts(spark, folder)
-    return hierarchy.incoherent_days(hierarchy.roll_up(facts)).select(day(), "national", "warehouses")
+    out = hierarchy.coherence(hierarchy.roll_up(facts))
+    return out.select(day(), F.round("national", 2).alias("national"), F.round("warehouses", 2).alias("warehouses"), "coherent")
 
 
 CUT = "2001-10-01"

@@ -260,10 +260,10 @@ def _(spark, folder):
 
 @register("status_sample", sql(CLEAN, """SELECT Product_ID, Stock_Status FROM clean WHERE Unit_Cost IS NOT NULL AND Current_Stock IS NOT NULL
 AND Daily_Demand_Est IS NOT NULL AND Lead_Time_Days IS NOT NULL AND Inventory_Value IS NOT NULL
-ORDER BY md5('42|' || Product_ID), Product_ID LIMIT 2000"""))
+ORDER BY md5('42|' || Product_ID), Product_ID LIMIT 500"""))
 def _(spark, folder):
     shown = base.clean(spark, folder).dropna(subset=["Unit_Cost", "Current_Stock", "Daily_Demand_Est", "Lead_Time_Days", "Inventory_Value"])
-    return stats.hash_sample(shown, "Product_ID", 2000).select("Product_ID", "Stock_Status")
+    return stats.hash_sample(shown, "Product_ID", 500).select("Product_ID", "Stock_Status")
 
 
 # ---- supply chain ----------------------------------------------------------------------------------------------

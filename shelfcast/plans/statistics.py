@@ -173,9 +173,14 @@ def _(spark, folder):
     return show(stats.chi_square(base.clean(spark, folder), "Category", "Stock_Status"), "dof", digits=6, **num("chi2"))
 
 
-@register("chi_square_p")
+# With an even number of degrees the upper tail is a finite sum.
+@register("chi_square_p", sql(CLEAN, """, o AS (SELECT Category AS a, Stock_Status AS b, count(*)::DOUBLE AS o FROM clean WHERE Category IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT o, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS cb, sum(o) OVER () AS n FROM o),
+c AS (SELECT sum(o * o * n / (ra * cb)) - max(n) AS chi2, ((SELECT count(DISTINCT a) FROM o) - 1) * ((SELECT count(DISTINCT b) FROM o) - 1) AS dof FROM x)
+SELECT round(chi2, 6) AS chi2, dof, round(exp(-chi2 / 2) * list_sum(list_transform(range(0, dof // 2), lambda k: power(chi2 / 2, k) / factorial(k::INTEGER))), 6) AS p_value FROM c"""))
 def _(spark, folder):
-    return stats.chi_square_p(stats.chi_square(base.clean(spark, folder), "Category", "Stock_Status"))
+    out = stats.chi_square_p(stats.chi_square(base.clean(spark, folder), "Category", "Stock_Status"))
+    return show(out, "dof", digits=6, **num("chi2", "p_value"))
 
 
 # The pairs of the regression view.
@@ -190,9 +195,21 @@ def _(spark, folder):
     return out.select("x", "y", "n", (F.round("slope", 6) + 0.0).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("std_err", 6).alias("std_err"))
 
 
-@register("ols_band")
+# The t quantile comes from its expansion around the normal one, exact to ten digits with hundreds of rows.
+Z = 1.959963984540054
+T_TERMS = ((Z**3 + Z) / 4, (5 * Z**5 + 16 * Z**3 + 3 * Z) / 96, (3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384)
+T_SQL = f"{Z!r}::DOUBLE" + "".join(f" + {c!r}::DOUBLE / power(n - 2, {i})" for i, c in enumerate(T_TERMS, 1))
+
+
+@register("ols_band", sql(HEALTH, f""", f AS (SELECT count(*) AS n, regr_slope({PAIRS[0][1]}, {PAIRS[0][0]}) AS b, regr_intercept({PAIRS[0][1]}, {PAIRS[0][0]}) AS a,
+  regr_r2({PAIRS[0][1]}, {PAIRS[0][0]}) AS r2, regr_sxx({PAIRS[0][1]}, {PAIRS[0][0]}) AS sxx, regr_syy({PAIRS[0][1]}, {PAIRS[0][0]}) AS syy, avg({PAIRS[0][0]}) AS m,
+  min({PAIRS[0][0]}) AS lo, max({PAIRS[0][0]}) AS hi FROM health WHERE {PAIRS[0][0]} IS NOT NULL AND {PAIRS[0][1]} IS NOT NULL),
+g AS (SELECT *, lo + s * (hi - lo) / 99 AS spot, ({T_SQL}) * sqrt((1 - r2) * syy / (n - 2)) AS k, s FROM f, range(100) r(s))
+SELECT s::INTEGER AS step, round(spot, 4) AS "at", round(a + b * spot, 3) AS fit, round(a + b * spot - k * sqrt(1.0 / n + power(spot - m, 2) / sxx), 3) AS lo,
+  round(a + b * spot + k * sqrt(1.0 / n + power(spot - m, 2) / sxx), 3) AS hi FROM g"""))
 def _(spark, folder):
-    return stats.ols_band(stats.ols_line(base.classified(spark, folder), *PAIRS[0]))
+    out = stats.ols_band(stats.ols_line(base.classified(spark, folder), *PAIRS[0]))
+    return out.select("step", F.round("at", 4).alias("at"), *[F.round(c, 3).alias(c) for c in ("fit", "lo", "hi")])
 
 
 @register("z_outliers", sql(CLEAN, """, z AS (SELECT Product_ID, (Inventory_Value - (SELECT avg(Inventory_Value) FROM clean)) / (SELECT stddev_pop(Inventory_Value) FROM clean) AS z FROM clean)
