@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfcast.session import pin
+
 #: Words kept per Python worker, and the longest word kept.
 CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
 _MARKS = re.compile(rb"(?=[.,;:!?])(?<=[a-z0-9])")
@@ -103,7 +105,7 @@ def length_histogram(docs: DataFrame, vocabulary: str, block: int = 1024) -> Dat
     totals, so no task sees more than a block or one row per block. Null and empty texts count as length 0; an empty
     table gives no rows; other columns are not read.
     """
-    counts = encoded_lengths(docs, vocabulary).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = pin(encoded_lengths(docs, vocabulary).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     counts = counts.withColumn("n_tokens", F.col("n_docs") * F.col("length")).withColumn("block", F.floor(F.col("length") / block))
     upto = Window.partitionBy("block").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = counts.select("*", F.sum("n_docs").over(upto).alias("d_in"), F.sum("n_tokens").over(upto).alias("t_in"))
