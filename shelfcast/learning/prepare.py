@@ -57,6 +57,22 @@ def train_test(df: DataFrame, test_share: float = 0.2, key: str = "Product_ID",
     return parted.where(F.col("part") >= test_share), parted.where(F.col("part") < test_share)
 
 
+def stratified_split(df: DataFrame, test_share: float = 0.2, key: str = "Product_ID", seed: int = 42, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """As ``train_test``, but every label gives its share: in each, the rows with the smallest hashes are the test rows.
+
+    Labels keep their shares only if the rarest one has at least ``least`` rows; else the plain hash split is used. Ranks
+    are running counts, so a label with most rows spreads over tasks.
+    """
+    parted = with_fold(df, key, seed)
+    sizes = parted.groupBy("label").agg(F.count(F.lit(1)).alias("rows_of_label"))
+    rarest = sizes.agg(F.min("rows_of_label")).scalar()
+    ranked = running_totals(parted, [F.col("part"), F.col(key)], {"rank_in_label": F.lit(1)}, by=["label"]).join(sizes, "label")
+    own_share = F.col("rank_in_label") <= F.round(F.col("rows_of_label") * F.lit(test_share))
+    is_test = F.when(rarest >= least, own_share).otherwise(F.col("part") < test_share)
+    marked = ranked.withColumn("is_test", is_test)
+    return tuple(marked.where(side).select(*parted.columns) for side in (~F.col("is_test"), F.col("is_test")))
+
+
 def scaled(stage) -> Pipeline:
     """Standardise on the training rows only, then the given estimator on ``features``."""
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)

@@ -23,7 +23,7 @@ def stage_functions(signals: DataFrame | None) -> dict[str, Callable[[DataFrame,
     """Stage name to a function of (prepared feed, clean snapshot) giving one result row."""
     def ml(_, clean: DataFrame) -> DataFrame:
         rows = prepare.frame(prepare.encode(clean), prepare.CLASSIFICATION_FEATURES, "Stock_Status_Enc")
-        train, test = prepare.train_test(rows)
+        train, test = prepare.stratified_split(rows)
         scores = classify.compare(train, test, classify.classifiers())
         saved = multipliers.savings(multipliers.best_multipliers(multipliers.category_means(clean)))
         return nest(scores, "classification").withColumn("savings", saved.select("savings").scalar())

@@ -27,7 +27,7 @@ def encoded(spark, folder):
 
 
 def class_rows(spark, folder):
-    return prepare.train_test(prepare.frame(encoded(spark, folder), prepare.CLASSIFICATION_FEATURES, "Stock_Status_Enc"))
+    return prepare.stratified_split(prepare.frame(encoded(spark, folder), prepare.CLASSIFICATION_FEATURES, "Stock_Status_Enc"))
 
 
 def points(spark, folder):
@@ -37,7 +37,10 @@ def points(spark, folder):
 
 FRACTION = "('0x' || substr(md5('42|' || Product_ID), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 COMPLETE = """full_rows AS (SELECT * FROM enriched WHERE Unit_Cost IS NOT NULL AND Daily_Demand_Est IS NOT NULL AND Safety_Stock_Target IS NOT NULL
-  AND Lead_Time_Days IS NOT NULL AND Demand_Intensity IS NOT NULL)"""
+  AND Lead_Time_Days IS NOT NULL AND Demand_Intensity IS NOT NULL),
+sized AS (SELECT *, {f} AS part, row_number() OVER (PARTITION BY Stock_Status ORDER BY {f}, Product_ID) AS rk, count(*) OVER (PARTITION BY Stock_Status) AS size FROM full_rows),
+split AS (SELECT *, CASE WHEN (SELECT min(size) FROM sized) >= 5 THEN rk <= round(size * 0.2::DOUBLE) ELSE part < 0.2 END AS is_test FROM sized)"""
+COMPLETE = COMPLETE.replace("{f}", FRACTION)
 
 
 @register("encoded_categories", sql(ENRICHED, """SELECT Product_ID, (dense_rank() OVER (ORDER BY coalesce(Category, 'nan')) - 1)::DOUBLE AS Category_Enc,
@@ -46,14 +49,14 @@ def _(spark, folder):
     return prepare.encode(base.clean(spark, folder)).select("Product_ID", "Category_Enc", "Vendor_Enc", "Stock_Status_Enc")
 
 
-@register("train_test_split", sql(ENRICHED + "," + COMPLETE, f"SELECT Product_ID, {FRACTION} < 0.2 AS is_test FROM full_rows"))
+@register("train_test_split", sql(ENRICHED + "," + COMPLETE, "SELECT Product_ID, is_test FROM split"))
 def _(spark, folder):
     train, test = class_rows(spark, folder)
     return train.select("Product_ID", F.lit(False).alias("is_test")).unionByName(test.select("Product_ID", F.lit(True).alias("is_test")))
 
 
 @register("feature_scaling", sql(ENRICHED + "," + COMPLETE, f"""SELECT round(avg(Unit_Cost), 4) AS mean_cost, round(stddev_samp(Unit_Cost), 4) AS sd_cost, round(avg(Lead_Time_Days), 4) AS mean_lead,
-round(stddev_samp(Lead_Time_Days), 4) AS sd_lead FROM full_rows WHERE {FRACTION} >= 0.2"""))
+round(stddev_samp(Lead_Time_Days), 4) AS sd_lead FROM split WHERE NOT is_test"""))
 def _(spark, folder):
     train, _ = class_rows(spark, folder)
     scaler = prepare.scaled(None).fit(train).stages[0]
