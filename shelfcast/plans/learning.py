@@ -43,6 +43,18 @@ split AS (SELECT *, CASE WHEN (SELECT min(size) FROM sized) >= 5 THEN rk <= roun
 COMPLETE = COMPLETE.replace("{f}", FRACTION)
 
 
+ENCODINGS = """(dense_rank() OVER (ORDER BY coalesce(Category, 'nan')) - 1)::DOUBLE AS Category_Enc,
+(dense_rank() OVER (ORDER BY coalesce(Vendor_Name, 'nan')) - 1)::DOUBLE AS Vendor_Enc, (dense_rank() OVER (ORDER BY Stock_Status) - 1)::DOUBLE AS Stock_Status_Enc"""
+FEATURES = prepare.CLASSIFICATION_FEATURES
+# Seven nearest training rows of every test row, by brute force over standardised features.
+NEIGHBOURS = f"""enc AS (SELECT *, {ENCODINGS} FROM enriched),
+{COMPLETE.replace("FROM enriched", "FROM enc")},
+st AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(FEATURES))} FROM split WHERE NOT is_test),
+z AS (SELECT Product_ID, is_test, Stock_Status_Enc AS label, [{", ".join(f"(({c} - m{i}) / s{i})::DOUBLE" for i, c in enumerate(FEATURES))}] AS x FROM split, st),
+d AS (SELECT q.Product_ID AS query, t.Product_ID AS neighbour, t.label, list_distance(q.x, t.x) AS distance FROM z q JOIN z t ON q.is_test AND NOT t.is_test),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS position FROM d)"""
+
+
 @register("encoded_categories", sql(ENRICHED, """SELECT Product_ID, (dense_rank() OVER (ORDER BY coalesce(Category, 'nan')) - 1)::DOUBLE AS Category_Enc,
 (dense_rank() OVER (ORDER BY coalesce(Vendor_Name, 'nan')) - 1)::DOUBLE AS Vendor_Enc, (dense_rank() OVER (ORDER BY Stock_Status) - 1)::DOUBLE AS Stock_Status_Enc FROM enriched"""))
 def _(spark, folder):
@@ -106,19 +118,24 @@ def _(spark, folder):
     return classify.confusion(model.transform(scaler.transform(test)))
 
 
-@register("nearest_neighbours")
+@register("nearest_neighbours", sql(ENRICHED + "," + NEIGHBOURS, "SELECT query, neighbour, label, round(distance, 6) AS distance, position FROM r WHERE position <= 7"))
 def _(spark, folder):
     train, test = class_rows(spark, folder)
     scaler = prepare.scaled(None).fit(train)
-    return neighbours.nearest(scaler.transform(train), scaler.transform(test))
+    found = neighbours.nearest(scaler.transform(train), scaler.transform(test))
+    return found.withColumn("distance", F.round("distance", 6))
 
 
-@register("nearest_neighbour_votes")
+@register("nearest_neighbour_votes", sql(ENRICHED + "," + NEIGHBOURS, """,
+v AS (SELECT query, label AS choice, count(*) AS n FROM r WHERE position <= 7 GROUP BY 1, 2),
+b AS (SELECT query, choice AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, choice) = 1),
+c AS (SELECT label, prediction, count(*) AS n FROM b JOIN z ON query = Product_ID GROUP BY 1, 2)
+SELECT label, prediction, n, round(n / sum(n) OVER (PARTITION BY label) * 100, 6) AS row_pct FROM c"""))
 def _(spark, folder):
     train, test = class_rows(spark, folder)
     scaler = prepare.scaled(None).fit(train)
     found = neighbours.nearest(scaler.transform(train), scaler.transform(test))
-    return classify.confusion(neighbours.vote(found, test))
+    return classify.confusion(neighbours.vote(found, test)).withColumn("row_pct", F.round("row_pct", 6))
 
 
 def value_predictions(spark, folder):
