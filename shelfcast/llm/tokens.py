@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from shelfcast.session import pin
 
 #: Words kept per Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
+CACHE_WORDS, CACHE_BYTES = 800_000, 48
 _MARKS = re.compile(rb"(?=[.,;:!?])(?<=[a-z0-9])")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 

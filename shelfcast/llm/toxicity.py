@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from shelfcast.llm.tokens import slices
 
 #: Words kept per Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_BYTES = 800_000, 64
+CACHE_WORDS, CACHE_BYTES = 400_000, 48
 _EDGE = b".,;:!?\"'()[]{}<>*#%&$|"
 
 
