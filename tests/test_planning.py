@@ -225,7 +225,10 @@ def test_progress_and_types(spark):
         history.analysis_of(df, "nope")
 
 
-def test_full_batch(spark, dirty, tmp_path):
+def test_full_batch(spark, dirty, tmp_path, monkeypatch):
+    # Three of the nine models: fitting all of them takes minutes.
+    models = batch.classify.classifiers()
+    monkeypatch.setattr(batch.classify, "classifiers", lambda: {n: models[n] for n in ("Decision Tree", "Random Forest", "Naive Bayes")})
     more = dirty
     for i in range(4):
         more = more.unionByName(dirty.withColumn("Product_ID", F.concat(F.col("Product_ID"), F.lit(f"x{i}"))).withColumn("Current_Stock_Raw", F.lit(str(20 * i))))
