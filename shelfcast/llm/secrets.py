@@ -102,8 +102,10 @@ def natural(token: str) -> bool:
     return all(x.isalpha() and (x.islower() or x.isupper() or x.istitle()) for x in parts if x)
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bool]]]:
-    """Fixed spans, and candidates (start, end, cell, natural) that overlap none of them; a cell is length band and bin."""
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bool, int]]]:
+    """Fixed spans, and candidates (start, end, cell, natural, hash) that overlap none of them; a cell is length band and bin."""
+    import xxhash
+
     base, tokens = base_spans(text), []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -112,7 +114,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         token = m.group()
         if token.isdigit() and len(token) < 32:
             continue  # account and card numbers are no keys
-        tokens.append((a, b, length_band(b - a) * BINS + score_bin(battery(token)), natural(token)))
+        tokens.append((a, b, length_band(b - a) * BINS + score_bin(battery(token)), natural(token), xxhash.xxh64_intdigest(token) - (1 << 63)))
     return base, tokens
 
 
@@ -122,22 +124,28 @@ def discoveries(counts: dict[tuple[int, bool], int], rate: float) -> list[int]:
     A candidate's p-value is the share of natural tokens that look at least as random, among those of its own length band
     and shorter ones. The tests gain power with length, so shorter tokens make that share too large, never too small,
     and short candidates have to do better than long ones. Step-up control runs over the bounded table of cells.
+
+    Counts are of distinct tokens. Where the natural sample is too small for any share to reach ``rate``, the battery's own
+    hypothesis decides: candidates pass unless it rejects that they are uniform random strings at level ``rate``.
     """
-    cells, plain = [], [0] * BINS
+    cells, unresolved, plain = [], [], [0] * BINS
     for band in range(BANDS):
         plain = [n + counts.get((band * BINS + i, True), 0) for i, n in enumerate(plain)]
         total, above = sum(plain), 0
         for i in reversed(range(BINS)):
             above += plain[i]
             if n := counts.get((band * BINS + i, False), 0):
-                cells.append(((above + 1) / (total + 1), band * BINS + i, n))
+                if (total + 1) * rate >= 1:
+                    cells.append(((above + 1) / (total + 1), band * BINS + i, n))
+                elif 10 ** (15 * (i / BINS - 1)) >= 0.999 * rate:
+                    unresolved.append(band * BINS + i)
     cells.sort()
     tested, passed, keep = sum(n for *_, n in cells), 0, 0
     for j, (p, _, n) in enumerate(cells):
         passed += n
         if p * tested <= rate * passed:
             keep = j + 1
-    return [cell for _, cell, _ in cells[:keep]]
+    return unresolved + [cell for _, cell, _ in cells[:keep]]
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
@@ -148,8 +156,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Fixed patterns always stay. Other long tokens go through ``battery``; natural words of the whole corpus calibrate it by
-    length and candidates pass at a false-discovery rate of ``rate``. The counts that decide are a table of
-    at most 24 length bands by 60 bins by 2, whatever the corpus.
+    length and candidates pass at a false-discovery rate of ``rate``. Every distinct token counts once, however often it
+    is copied. The counts that decide are a table of at most 24 length bands by 60 bins by 2, whatever the corpus.
 
     Null and empty texts have no spans. Null ids stay null, repeated rows are scanned each, an empty table gives no rows
     and other columns are not read. Long texts are scanned whole.
@@ -161,13 +169,15 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64").array,
                 "base": [[x for s in b for x in s] for b, _ in found],
-                "tokens": [[x for s in t for x in (s[0], s[1], 2 * s[2] + s[3])] for _, t in found],
+                "tokens": [[x for s in t for x in (s[0], s[1], 2 * s[2] + s[3], s[4])] for _, t in found],
             })
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = pin(source.mapInPandas(first, "doc_id long, base array<long>, tokens array<long>"), "secrets")
-    thirds = F.filter("tokens", lambda x, i: i % 3 == 2)
-    counted = rows.select(F.explode(thirds).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    places = F.sequence(F.lit(2), F.size("tokens") - 2, F.lit(4))
+    pairs = F.transform(places, lambda i: F.struct(F.get("tokens", i).alias("cell"), F.get("tokens", i + 1).alias("hash")))
+    distinct = rows.where(F.size("tokens") > 0).select(F.explode(pairs).alias("t")).select("t.*").distinct()
+    counted = distinct.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
     random = frozenset(discoveries({(r["cell"] // 2, bool(r["cell"] % 2)): r["n"] for r in counted}, rate))
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +187,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
             out = []
             for doc, flat, tokens in zip(batch["doc_id"].astype("Int64"), batch["base"], batch["tokens"], strict=True):
                 base = [tuple(int(v) for v in flat[i : i + 3]) for i in range(0, len(flat), 3)]
-                more = [(int(tokens[i]), 3, int(tokens[i + 1])) for i in range(0, len(tokens), 3) if not tokens[i + 2] % 2 and tokens[i + 2] // 2 in random]
+                more = [(int(tokens[i]), 3, int(tokens[i + 1])) for i in range(0, len(tokens), 4) if not tokens[i + 2] % 2 and tokens[i + 2] // 2 in random]
                 kinds = [s[1] for s in base]
                 sha = hashlib.sha256(spans_text(base).encode()).hexdigest()
                 out.append((doc, kinds.count(0), kinds.count(1), kinds.count(2), sha, spans_text(sorted(base + more)), len(more)))

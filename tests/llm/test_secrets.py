@@ -67,5 +67,21 @@ def test_discoveries_control():
     assert secrets.discoveries({}, 0.05) == []
 
 
+def test_copies_do_not_move_the_null(spark):
+    rng = random.Random(5)
+    header = "MICHAELJOHNSONPUBLICWORK"
+    rows = [(i, " ".join("".join(rng.choices(["ner", "talo", "vosh", "iraqu", "delm"], k=7)) for _ in range(20)), "n") for i in range(200)]
+    rows += [(1000 + i, f"{header} intro", "h") for i in range(400)]
+    keys = {2000 + i: random_key(rng, 48) for i in range(40)}
+    rows += [(i, f"intro {k} outro", "k") for i, k in keys.items()]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert sum(got[i] for i in keys) >= 0.9 * len(keys) and not any(n for i, n in got.items() if i not in keys)
+
+
+def test_small_natural_sample():
+    found = secrets.discoveries({(40, True): 3, (59, False): 5, (20, False): 5}, 0.01)
+    assert found == [59]
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
