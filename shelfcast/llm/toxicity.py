@@ -260,15 +260,26 @@ def fold(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
     """(text, toxic): at most ``most`` toxic and twice as many other rows outside fold 0, in order of a hash of the id.
 
-    Rows of more than ``longest`` characters are passed over when fitting, so the sample's size is bounded. The
-    sampled ids, at most three times ``most``, are the side that is broadcast.
+    Only labelled rows with a text in ``docs`` are drawn. Texts of more than ``longest`` characters come after all
+    others. The characters of a kind are bounded by ``longest`` for each row it may have: whole texts are taken while
+    they fit and the first that does not fit is cut there. The sampled ids, at most three times ``most``, are the side that is broadcast.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(fold() != 0)
-    order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order).limit(most).union(known.where("toxic = 0").orderBy(order).limit(2 * most))
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= longest)
-    return found.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).orderBy("doc_id").limit(3 * most).select("x.text", "x.toxic")
+    sizes = docs.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n")).join(known.where(fold() != 0), "doc_id")
+    usable = sizes.groupBy("doc_id").agg(F.min("n").alias("n"), F.first("toxic").alias("toxic"))
+    order, picked = (F.col("n") > longest, F.xxhash64("doc_id"), "doc_id"), []
+    for toxic, rows in ((1, most), (0, 2 * most)):
+        left = rows * longest
+        for r in usable.where(F.col("toxic") == toxic).orderBy(*order).limit(rows).collect():
+            if left <= 0:
+                break
+            picked.append((r["doc_id"], toxic, min(r["n"], left)))
+            left -= r["n"]
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("take", T.IntegerType())])
+    sample = docs.sparkSession.createDataFrame(picked, kind)
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    first = F.min(F.struct(F.length("text").alias("n"), F.expr("substring(text, 1, take)").alias("text"), "toxic")).alias("x")
+    return found.groupBy("doc_id").agg(first).orderBy("doc_id").limit(3 * most).select("x.text", "x.toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 6000) -> Tagger:

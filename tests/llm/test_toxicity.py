@@ -77,3 +77,15 @@ def test_held_out_accuracy(spark):
     hit = scored[scored.toxic == 1].predicted.mean()
     false = scored[scored.toxic == 0].predicted.mean()
     assert hit >= 0.9 and false <= 0.01
+
+
+def test_sample_holds_what_can_be_used(spark):
+    rows, labels = corpus(200)
+    kinds = "doc_id long, quality long, toxic long"
+    # Labels of ids that are not in docs, and toxic documents that are all long.
+    elsewhere = [(10_000 + i, 1, i % 2) for i in range(400)]
+    long = [(i, " ".join([t] * 30) if i % 8 == 0 else t, s) for i, t, s in rows]
+    got = toxicity.training_rows(frame(spark, long), spark.createDataFrame(labels + elsewhere, kinds), 15, 1500).collect()
+    toxic = [r["text"] for r in got if r["toxic"]]
+    assert toxic and sum(map(len, toxic)) <= 15 * 1500 and len(got) - len(toxic) == 30
+    assert sum(map(len, toxic)) >= 0.9 * 15 * 1500 or len(toxic) == 15
