@@ -122,7 +122,7 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = class_rows(spark, folder)
     scaler = prepare.scaled(None).fit(train)
-    found = neighbours.nearest(scaler.transform(train), scaler.transform(test))
+    found = neighbours.nearest_of_all(scaler.transform(train), scaler.transform(test))
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -134,7 +134,7 @@ SELECT label, prediction, n, round(n / sum(n) OVER (PARTITION BY label) * 100, 6
 def _(spark, folder):
     train, test = class_rows(spark, folder)
     scaler = prepare.scaled(None).fit(train)
-    found = neighbours.nearest(scaler.transform(train), scaler.transform(test))
+    found = neighbours.nearest_of_all(scaler.transform(train), scaler.transform(test))
     return classify.confusion(neighbours.vote(found, test)).withColumn("row_pct", F.round("row_pct", 6))
 
 

@@ -32,6 +32,15 @@ def test_nearest_equals_brute_force(cloud):
     assert votes.where("prediction <> label and label < 2").count() == 0
 
 
+def test_blocks_leave_no_neighbour_out(cloud):
+    x, _, df = cloud
+    train, queries = df.where("Product_ID < 'p0500'"), df.where("Product_ID >= 'p0500'")
+    want = sorted(tuple(r) for r in neighbours.nearest(train, queries, k=7).collect())
+    got = sorted(tuple(r) for r in neighbours.nearest_of_all(train, queries, k=7, block=40).collect())
+    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(r[0], r[1], r[2], r[4]) for r in want] and len(got) == 7 * (len(x) - 500)
+    np.testing.assert_allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
 def test_density_clusters(cloud):
     _, label, df = cloud
     out = {r.Product_ID: r.cluster for r in cluster.density_clusters(df, eps=2.0, min_points=10, dims=2).collect()}
