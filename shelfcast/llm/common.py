@@ -33,3 +33,36 @@ def word_count(text: Column) -> Column:
 def boxed(df: DataFrame, *extra: Column) -> DataFrame:
     """The whole row as one struct ``row`` beside computed columns, so no column name of the input can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], share: int = 1000, salts: int = 64, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side`` on equal ``on`` (nulls equal), where one key may hold most of ``rows``.
+
+    Keys with more than one in ``share`` of all rows are fewer than ``share``, so their list is broadcast; their rows are
+    dealt over ``salts`` numbers and their rows of ``side`` repeated for each. ``rows`` is read twice and must be stable
+    (a pinned table or a plain scan). ``how`` is inner or left.
+    """
+    spark = rows.sparkSession
+    most = max(rows.count() // share, salts)
+    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).limit(share).collect()
+    if not hot:
+        salted, dealt = rows.withColumn("__salt", F.lit(0)), side.withColumn("__salt", F.lit(0))
+    else:
+        few = spark.createDataFrame([tuple(r[c] for c in on) + (True,) for r in hot], rows.select(*on).withColumn("__hot", F.lit(True)).schema)
+        salt = F.when(F.col("__hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(0)
+        salted = _mark(rows, few, on).withColumn("__salt", salt).drop("__hot")
+        each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        dealt = _mark(side, few, on).withColumn("__salt", F.explode(each)).drop("__hot")
+    right = dealt.select(*[F.col(c).alias(f"__{c}") for c in on], F.col("__salt").alias("__dealt"), *[c for c in side.columns if c not in on])
+    same = F.col("__salt") == F.col("__dealt")
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return salted.join(right, same, how).drop("__salt", "__dealt", *[f"__{c}" for c in on])
+
+
+def _mark(df: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    few = few.select(*[F.col(c).alias(f"__{c}") for c in on], "__hot")
+    same = F.lit(True)
+    for c in on:
+        same = same & df[c].eqNullSafe(few[f"__{c}"])
+    return df.join(F.broadcast(few), same, "left").drop(*[f"__{c}" for c in on])
