@@ -66,3 +66,12 @@ def _mark(df: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     for c in on:
         same = same & df[c].eqNullSafe(few[f"__{c}"])
     return df.join(F.broadcast(few), same, "left").drop(*[f"__{c}" for c in on])
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, nulls equal; the columns of ``on`` appear once."""
+    side = right.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in right.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return left.join(side, same, how).drop(*[f"__{c}" for c in on])
