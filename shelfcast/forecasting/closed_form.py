@@ -47,6 +47,11 @@ def zero_shot(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES) ->
     return naive(demand, horizon, keys, 30)
 
 
+#: Rows of a series that these models read; an evaluation copies no more into its folds.
+naive.lookback = NAIVE_WINDOW
+zero_shot.lookback = 30
+
+
 def weighted_trend(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES, lookback: int = EWM_LOOKBACK) -> DataFrame:
     """Exponentially weighted mean of all history plus the slope of the last ``lookback`` values."""
     alpha = 2.0 / (F.least(F.lit(lookback), F.col("n")) + 1)

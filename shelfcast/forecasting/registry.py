@@ -40,6 +40,10 @@ _MODELS: dict[str, Model] = {
 FOLDABLE = ("naive_ma30", "sarimax", "chronos2_zs", "prophet", "lstm", "nbeats", "tft")
 
 
+#: Models that the router chooses from.
+ROUTED = ("chronos2_zs", "sarimax", "lightgbm")
+
+
 def available_models() -> list[str]:
     return [*_MODELS, "routing_ensemble"]
 
@@ -83,7 +87,7 @@ def routed_forecast(
     assigned = assign(demand, keys, **thresholds)
     labelled = demand.join(assigned.select(*keys, "model"), list(keys))
     out = None
-    for name in ("chronos2_zs", "sarimax", "lightgbm"):
+    for name in ROUTED:
         model = (models or {}).get(name) or create(name)
         part = model(labelled.where(F.col("model") == name).drop("model"), horizon, keys).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)

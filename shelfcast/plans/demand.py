@@ -258,16 +258,13 @@ def _(spark, folder):
     return trees.importances(trees.fit(base.brand_demand(spark, folder), **trees.PRESETS["lightgbm"]), spark)
 
 
-# The newest 45 days of some series stand for products without history.
 def mixed_demand(spark, folder):
-    y = base.sku_daily(spark, folder).unionByName(base.brand_demand(spark, folder))
-    cold = F.col("unique_id").isin("Brand#3", "Brand#8", "Brand#21")
-    return y.where(~cold | (F.col("ds") > F.date_sub(F.lit("2001-11-04").cast("date"), 45)))
+    """Sparse and dense series together."""
+    return base.sku_daily(spark, folder).unionByName(base.brand_demand(spark, folder))
 
 
 MIXED = SKU_DAILY.replace("y AS (SELECT unique_id, ds, coalesce", "yk AS (SELECT unique_id, ds, coalesce") + "," + BRAND.replace("y AS (", "yb AS (") + """,
-y AS (SELECT * FROM (SELECT * FROM yk UNION ALL SELECT * FROM yb)
-  WHERE unique_id NOT IN ('Brand#3', 'Brand#8', 'Brand#21') OR ds > DATE '2001-11-04' - 45),
+y AS (SELECT * FROM yk UNION ALL SELECT * FROM yb),
 prof AS (SELECT unique_id, count(*) AS n_days, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS z FROM y GROUP BY 1)"""
 ROUTE = "CASE WHEN n_days < 60 THEN 'chronos2_zs' WHEN z > {0} THEN 'sarimax' ELSE 'lightgbm' END"
 
@@ -407,7 +404,7 @@ def _(spark, folder):
     return out.select("model", "folds", "statistic", F.round("p_value", 6).alias("p_value"))
 
 
-BENCHMARK_MODELS = ("naive_ma30", "sarimax", "prophet", "lstm", "nbeats", "tft", "chronos2_zs")
+BENCHMARK_MODELS = tuple(registry.available_models())
 
 
 @register("benchmark_table")
@@ -429,13 +426,12 @@ def _(spark, folder):
 
 @register("threshold_sensitivity")
 def _(spark, folder):
-    models = {"chronos2_zs": closed_form.zero_shot, "sarimax": closed_form.weighted_trend, "lightgbm": closed_form.trend_harmonics}
-    return show(evaluation.threshold_sensitivity(mixed_demand(spark, folder), models), "threshold_days", "folds", **num("mape"))
+    return show(evaluation.threshold_sensitivity(base.brand_demand(spark, folder)), "threshold_days", "folds", **num("mape"))
 
 
 @register("ablation")
 def _(spark, folder):
-    return evaluation.ablation(base.brand_demand(spark, folder), windows=2, iterations=3, depth=4)
+    return evaluation.ablation(base.brand_demand(spark, folder))
 
 
 @register("promotion_error_slices", sql(CV, """, pr AS (SELECT p_brand AS unique_id, CAST(l_shipdate AS DATE) AS ds, round(avg(l_discount), 6) > 0.05 AS promo
