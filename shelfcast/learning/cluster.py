@@ -1,10 +1,12 @@
-"""Clusters of SKUs: k-means with a choice of k, bisecting k-means, and density clusters on grid cells."""
+"""Clusters of SKUs: k-means with a choice of k, bisecting k-means, and density clusters by a metric index."""
 
 from __future__ import annotations
 
-import itertools
-import math
+from collections.abc import Iterator
+from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.constants import STATUS_LOW, STATUS_NORMAL, STATUS_OUT
 from shelfcast.functions.numeric import share
-from shelfcast.learning.reduce import components
+from shelfcast.learning.metric import SLACK, asking, build, meet, window
+from shelfcast.operators.components import connected, forest
 from shelfcast.session import pin
 
 
@@ -59,46 +62,75 @@ def profiles(labelled: DataFrame, names) -> DataFrame:
     return wide.groupBy("prediction").agg(*[F.avg(n).alias(n) for n in names]).unpivot(["prediction"], list(names), "feature", "mean")
 
 
-def density_clusters(points: DataFrame, eps: float = 2.5, min_points: int = 10, dims: int = 3, key: str = "Product_ID", max_rounds: int = 100) -> DataFrame:
-    """Density clusters (DBSCAN on grid cells): (key, cluster), -1 for noise.
+def density_clusters(points: DataFrame, eps: float = 2.5, min_points: int = 10, key: str = "Product_ID", tile: int = 2048) -> DataFrame:
+    """Density clusters (DBSCAN) of the points themselves, in all dimensions: (key, cluster), -1 for noise.
 
-    Points are projected on the first principal components and counted per cell; cells are eps/sqrt(dims) wide, so
-    points of one cell are within eps of each other. Two cells are neighbours when their centres are within eps. A
-    cell whose neighbourhood holds ``min_points`` is dense; dense neighbours share a cluster and a sparse cell next to
-    a dense one joins it. Only cells meet in joins, never pairs of points, so a crowded cell costs one row.
+    A point is a core point if at least ``min_points`` points, itself included, are within ``eps``. Core points within
+    ``eps`` of each other share a cluster; another point joins the cluster with the smallest root among its core
+    neighbours. Neighbours come from a metric index; equal points are one weighted node, and a task hands on one link for
+    each of its points, not all pairs.
     """
-    side = eps / math.sqrt(dims)
-    axes = [f"c{i}" for i in range(dims)]
-    placed = pin(
-        components(points, dims).select(key, *[F.floor(F.col("score").getItem(i) / side).cast("int").alias(a) for i, a in enumerate(axes)]),
-        "cells",
-    )
-    reach = int(eps / side) + 1
-    steps = [o for o in itertools.product(range(-reach, reach + 1), repeat=dims) if math.dist(o, (0,) * dims) * side <= eps]
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(axes, o, strict=True)]) for o in steps])
-    cells = placed.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
-
-    def to_neighbours(df: DataFrame, *keep: str) -> DataFrame:
-        """Each cell's columns sent to all its neighbours, itself included."""
-        sent = df.select(*axes, *keep, F.explode(offsets).alias("o"))
-        return sent.select(*[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in axes], *keep)
-
-    around = to_neighbours(cells, "n").groupBy(*axes).agg(F.sum("n").alias("near"))
-    graph = cells.join(around, axes).withColumn("dense", F.col("near") >= min_points)
-    dense = pin(graph.where("dense").select(*axes, F.struct(*axes).alias("cluster")), "dense")
-    for _ in range(max_rounds):
-        sent = to_neighbours(dense, "cluster").groupBy(*axes).agg(F.min("cluster").alias("offer"))
-        moved = pin(dense.join(sent, axes).select(*axes, F.col("offer").alias("cluster"), (F.col("offer") < F.col("cluster")).alias("moved")), "dense")
-        dense = moved.drop("moved")
-        if moved.where("moved").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("clusters did not settle; raise max_rounds")
-    joined = to_neighbours(dense, "cluster").groupBy(*axes).agg(F.min("cluster").alias("border"))
-    final = cells.join(dense, axes, "left").join(joined, axes, "left").select(*axes, F.coalesce("cluster", "border").alias("cluster"))
-    # A cluster is named by its smallest cell; the name is hashed to a number.
-    number = F.when(F.col("cluster").isNotNull(), F.pmod(F.xxhash64("cluster"), F.lit(1 << 40))).otherwise(-1)
-    return placed.join(final, axes).select(key, number.alias("cluster"))
+    nodes = pin(points.select(F.col(key).cast("string").alias("key"), vector_to_array("features").alias("x")).groupBy("x").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "nodes")
+    index = build(nodes, tile=tile)
+    if index is None:
+        return points.select(key, F.lit(-1).cast("long").alias("cluster"))
+    count, high, low = index.count, index.high, index.low
+
+    def reachable(d: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        return np.where(count > 0, np.maximum(np.maximum(d - high, low - d), 0.0), np.inf) <= eps * (1 + SLACK) + SLACK
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows of ``b`` (sorted by r) within ``eps`` of each row of ``a``."""
+        rows, r = np.stack(b["x"].to_list()), b["r"].to_numpy()
+        for i, (x, d) in enumerate(zip(a["x"], a["d"], strict=True)):
+            span = window(r, d, eps)
+            hit = np.flatnonzero(np.sqrt(((rows[span] - x) ** 2).sum(axis=1)) <= eps)
+            yield i, hit + span.start
+
+    def total(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"key": [], "total": []}).astype({"key": object, "total": np.int64})
+        b = b.sort_values("r", ignore_index=True)
+        n = b["n"].to_numpy()
+        return pd.DataFrame({"key": a["key"].to_numpy(), "total": [int(n[hit].sum()) for _, hit in near(a, b)]})
+
+    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []}).astype(object)
+        b = b.sort_values("r", ignore_index=True)
+        names, at = np.unique(np.concatenate([a["key"].to_numpy(), b["key"].to_numpy()]).astype(str), return_inverse=True)
+        label = np.arange(len(names))
+        left, right = [], []
+        for i, hit in near(a, b):
+            left.append(np.full(len(hit), at[i]))
+            right.append(at[len(a) + hit])
+            if sum(map(len, left)) > 1_000_000:
+                # Links found so far become one per point before more are gathered.
+                label = forest(len(names), np.concatenate([*left, np.arange(len(names))]), np.concatenate([*right, label]))
+                left, right = [], []
+        label = forest(len(names), np.concatenate([*left, np.arange(len(names))]), np.concatenate([*right, label]))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"u": names[moved], "v": names[label[moved]]})
+
+    def joined(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("r", ignore_index=True)
+            root = b["root"].to_numpy()
+            out = [(a["key"].iloc[i], min(root[hit])) for i, hit in near(a, b) if len(hit)]
+        return pd.DataFrame(out, columns=["key", "root"])
+
+    sums = meet(index, asking(index, nodes, reachable), total, "key string, total long").groupBy("key").agg(F.sum("total").alias("total"))
+    judged = pin(nodes.join(sums, "key").withColumn("core", F.col("total") >= min_points).drop("total"), "judged")
+    core, other = judged.where("core").select("key", "x"), judged.where("not core").select("key", "x")
+    cores = replace(index, frame=index.frame.join(core.select("key"), "key", "left_semi"))
+    roots = connected(meet(cores, asking(index, core, reachable), links, "u string, v string"))
+    rooted = pin(core.select("key").join(roots, F.col("key") == F.col("u"), "left").select("key", F.coalesce("root", "key").alias("root")), "core-roots")
+    named = replace(index, frame=index.frame.join(rooted, "key"))
+    border = meet(named, asking(index, other, reachable), joined, "key string, root string").groupBy("key").agg(F.min("root").alias("root"))
+    placed = judged.join(rooted.unionByName(border), "key", "left").select("x", "root")
+    number = F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("root"), F.lit(1 << 40))).otherwise(-1)
+    return points.select(key, vector_to_array("features").alias("x")).join(placed, "x").select(key, number.alias("cluster"))
 
 
 def cluster_counts(labelled: DataFrame) -> DataFrame:

@@ -148,8 +148,9 @@ def retrain_decision(checks: DataFrame) -> DataFrame:
     )
 
 
-def monitoring_summary(daily: DataFrame) -> DataFrame:
-    return daily.agg(
+def monitoring_summary(daily: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Length and newest error of each model's history, next to the thresholds in force."""
+    return daily.groupBy(*by).agg(
         F.count("mape").alias("history_length"), F.max_by("mape", "ds").alias("latest_mape"),
         F.lit(K.KS_P_THRESHOLD).alias("ks_threshold"), F.lit(K.PSI_THRESHOLD).alias("psi_threshold"),
         F.lit(K.MAPE_ALERT_PCT).alias("mape_threshold"), F.lit(K.RETRAIN_DAYS).alias("retrain_trigger_days"),

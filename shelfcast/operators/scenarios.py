@@ -42,6 +42,13 @@ def resize_periods(demand: DataFrame, periods: int, keys: Sequence[str] = ()) ->
     )
 
 
+def horizons(demand: DataFrame, keys: Sequence[str] = (), horizon_days: int = K.SOP_HORIZON_DAYS, bucket_days: int = K.SOP_BUCKET_DAYS) -> DataFrame:
+    """All numbered periods cut into successive horizons (0, 1, ...), each numbered from 1; the last may be short."""
+    periods = max(1, horizon_days // bucket_days)
+    before = F.col("period") - 1
+    return demand.select(*keys, F.floor(before / periods).cast("int").alias("horizon"), (before % periods + 1).cast("int").alias("period"), "demand")
+
+
 def supply_factor(mode: str, seed: int, keys: Sequence[str]) -> Column:
     """Share of capacity that arrives: all of it with the scenario's reliability, else 70 %.
 

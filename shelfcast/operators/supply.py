@@ -62,21 +62,28 @@ def cost_breakdown(valid: DataFrame) -> DataFrame:
     )
 
 
-def cost_curve(one_sku: DataFrame, points: int = 500) -> DataFrame:
-    """Holding, ordering and total cost over order quantities from 10 to half the annual demand, per given SKU."""
+def cost_curve(skus: DataFrame, points: int = 500, key: str = "Product_ID") -> DataFrame:
+    """Holding, ordering and total cost over order quantities from 10 to half the annual demand, per SKU."""
     d, h = F.col("Annual_Demand"), F.col("Holding_Cost")
-    steps = one_sku.select(
-        "Product_ID", "Annual_Demand", "Holding_Cost", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step")
+    steps = skus.select(
+        key, "Annual_Demand", "Holding_Cost", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step")
     )
     quantity = 10 + F.col("step") * (d * 0.5 - 10) / (points - 1)
     return steps.withColumn("quantity", quantity).select(
-        "Product_ID", "step", "quantity",
+        key, "step", "quantity",
         (F.col("quantity") / 2 * h).alias("holding"),
         (d / F.col("quantity") * K.ORDERING_COST).alias("ordering"),
         (F.col("quantity") / 2 * h + d / F.col("quantity") * K.ORDERING_COST).alias("total"),
     )
 
 
+def category_curves(skus: DataFrame, points: int = 500) -> DataFrame:
+    """The cost curves of all SKUs of a category added up, step by step; sums combine before the shuffle."""
+    return cost_curve(skus, points, "Category").groupBy("Category", "step").agg(
+        F.avg("quantity").alias("quantity"), F.sum("holding").alias("holding"), F.sum("ordering").alias("ordering"), F.sum("total").alias("total")
+    )
+
+
 def orders_per_year(valid: DataFrame) -> DataFrame:
     """SKU counts by whole orders per year, capped at weekly ordering."""
     capped = clip(F.col("Annual_Orders"), high=52)

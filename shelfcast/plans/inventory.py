@@ -301,13 +301,13 @@ def _(spark, folder):
     return rounded(supply.cost_breakdown(supply.valid_orders(base.supply(spark, folder))), ["Category"], 2, **same("holding", "ordering"))
 
 
-@register("order_cost_curve", sql(VALID, """, one AS (SELECT * FROM valid ORDER BY Product_ID LIMIT 1),
-q AS (SELECT Product_ID, i::INTEGER AS step, 10 + i * (Annual_Demand * 0.5 - 10) / 499 AS quantity, Annual_Demand AS d, Holding_Cost AS h FROM one, range(500) r(i))
-SELECT Product_ID, step, round(quantity, 4) AS quantity, round(quantity / 2 * h, 4) AS holding, round(d / quantity * 50, 4) AS ordering,
-  round(quantity / 2 * h + d / quantity * 50, 4) AS total FROM q"""))
+@register("order_cost_curve", sql(VALID, """,
+q AS (SELECT Category, i::INTEGER AS step, 10 + i * (Annual_Demand * 0.5 - 10) / 499 AS quantity, Annual_Demand AS d, Holding_Cost AS h FROM valid, range(500) r(i))
+SELECT Category, step, round(avg(quantity), 4) AS quantity, round(sum(quantity / 2 * h), 2) AS holding, round(sum(d / quantity * 50), 2) AS ordering,
+  round(sum(quantity / 2 * h + d / quantity * 50), 2) AS total FROM q GROUP BY 1, 2"""))
 def _(spark, folder):
-    one = supply.valid_orders(base.supply(spark, folder)).orderBy("Product_ID").limit(1)
-    return rounded(supply.cost_curve(one), ["Product_ID", "step"], **same("quantity", "holding", "ordering", "total"))
+    curves = supply.category_curves(supply.valid_orders(base.supply(spark, folder)))
+    return rounded(curves.withColumn("quantity", F.round("quantity", 4)), ["Category", "step", "quantity"], 2, **same("holding", "ordering", "total"))
 
 
 @register("orders_per_year", sql(VALID, "SELECT floor(least(Annual_Orders, 52))::INTEGER AS orders_per_year, count(*) AS skus FROM valid GROUP BY 1"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfcast.learning import anomaly, classify, cluster, multipliers, neighbours, prepare, reduce, regress
 from shelfcast.plans import base
 from shelfcast.plans.base import CLEAN, ENRICHED, Query, sql
+from shelfcast.session import pin
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,10 @@ def encoded(spark, folder):
 
 
 def class_rows(spark, folder):
-    return prepare.stratified_split(prepare.frame(encoded(spark, folder), prepare.CLASSIFICATION_FEATURES, "Stock_Status_Enc"))
+    rows = prepare.frame(encoded(spark, folder), prepare.CLASSIFICATION_FEATURES, "Stock_Status_Enc")
+    train, test = prepare.stratified_split(rows)
+    marked = base.pinned(spark, folder, "class-rows", lambda: train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True))))
+    return marked.where(~F.col("held_out")).drop("held_out"), marked.where("held_out").drop("held_out")
 
 
 def points(spark, folder):
@@ -79,9 +83,14 @@ def _(spark, folder):
     )
 
 
+def class_predictions(spark, folder):
+    """Test predictions of all nine models, fitted once for accuracy and confusion."""
+    return base.pinned(spark, folder, "class-predictions", lambda: classify.predictions(*class_rows(spark, folder), classify.classifiers()))
+
+
 @register("classifier_accuracy")
 def _(spark, folder):
-    return classify.compare(*class_rows(spark, folder), classify.classifiers())
+    return classify.accuracies(class_predictions(spark, folder))
 
 
 @register("classifier_cross_validation")
@@ -92,20 +101,18 @@ def _(spark, folder):
 
 @register("classifier_confusion")
 def _(spark, folder):
-    train, test = class_rows(spark, folder)
-    models = classify.classifiers()
-    scores = classify.compare(train, test, models)
-    three = [r["model"] for r in scores.orderBy(F.col("accuracy").desc(), "model").limit(3).collect()]
-    parts = [classify.confusion(classify.fit_scaled(models[n], train)(test)).withColumn("model", F.lit(n)) for n in three]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    predicted = class_predictions(spark, folder)
+    three = classify.accuracies(predicted).orderBy(F.col("accuracy").desc(), "model").limit(3).select("model")
+    return classify.confusion(predicted.join(F.broadcast(three), "model"), ["model"])
 
 
 @register("classifier_importances")
 def _(spark, folder):
     train, _ = class_rows(spark, folder)
     models, out = classify.classifiers(), None
+    rows = pin(prepare.scaled(None).fit(train).transform(train).select("features", "label"), "scaled")
     for name in ("Random Forest", "Gradient Boosting", "Decision Tree", "Logistic Regression"):
-        part = classify.importances(prepare.scaled(models[name]).fit(train), spark).withColumn("model", F.lit(name))
+        part = classify.importances(models[name].fit(rows), spark).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -176,7 +183,7 @@ def _(spark, folder):
 
 @register("density_clusters")
 def _(spark, folder):
-    return cluster.cluster_counts(cluster.density_clusters(points(spark, folder), eps=1.0))
+    return cluster.cluster_counts(cluster.density_clusters(points(spark, folder)))
 
 
 @register("pca_variance")

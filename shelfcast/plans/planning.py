@@ -114,21 +114,24 @@ def _(spark, folder):
     return show(drift.breach_streaks(daily_errors(spark, folder)), "model", day(), **num("mape"))
 
 
-@register("monitoring_summary", sql(DAILY_ERROR, """SELECT count(*) AS history_length, round(arg_max(mape, ds), 4) AS latest_mape, 0.05::DOUBLE AS ks_threshold, 0.1::DOUBLE AS psi_threshold,
-20.0::DOUBLE AS mape_threshold, 7 AS retrain_trigger_days FROM daily WHERE model = 'Brand#1'"""))
+@register("monitoring_summary", sql(DAILY_ERROR, """SELECT model, count(*) AS history_length, round(arg_max(mape, ds), 4) AS latest_mape, 0.05::DOUBLE AS ks_threshold, 0.1::DOUBLE AS psi_threshold,
+20.0::DOUBLE AS mape_threshold, 7 AS retrain_trigger_days FROM daily GROUP BY 1"""))
 def _(spark, folder):
-    out = drift.monitoring_summary(daily_errors(spark, folder).where("model = 'Brand#1'"))
-    return show(out, "history_length", "ks_threshold", "psi_threshold", "mape_threshold", "retrain_trigger_days", **num("latest_mape"))
+    out = drift.monitoring_summary(daily_errors(spark, folder))
+    return show(out, "model", "history_length", "ks_threshold", "psi_threshold", "mape_threshold", "retrain_trigger_days", **num("latest_mape"))
 
 
 def yearly(spark, folder):
+    """The newest year of demand and the year before it, matched by series and day of the year counted backwards."""
     y = base.brand_demand(spark, folder)
-    key = F.concat_ws("|", "unique_id", F.dayofyear("ds").cast("string"))
-    return (y.where(f"year(ds) = {n}").select(key.alias("k"), "y") for n in (1997, 1998))
+    back = F.datediff(y.agg(F.max("ds")).scalar(), F.col("ds"))
+    key = F.concat_ws("|", "unique_id", (back % 365).cast("string"))
+    return (y.where(F.floor(back / 365) == n).select(key.alias("k"), "y") for n in (1, 0))
 
 
 @register("aligned_error", sql(BRAND, """,
-a AS (SELECT unique_id || '|' || dayofyear(ds) AS k, y AS r FROM y WHERE year(ds) = 1997), b AS (SELECT unique_id || '|' || dayofyear(ds) AS k, y AS c FROM y WHERE year(ds) = 1998)
+o AS (SELECT unique_id, y, (SELECT max(ds) FROM y) - ds AS back FROM y),
+a AS (SELECT unique_id || '|' || (back % 365) AS k, y AS r FROM o WHERE back // 365 = 1), b AS (SELECT unique_id || '|' || (back % 365) AS k, y AS c FROM o WHERE back // 365 = 0)
 SELECT count(*) AS n, round(avg(abs((r - c) / CASE WHEN r = 0 THEN 1 ELSE r END)) * 100, 4) AS mape_pct FROM a JOIN b USING (k)"""))
 def _(spark, folder):
     return show(drift.aligned_error(*yearly(spark, folder), "k", "y"), "n", **num("mape_pct"))
@@ -272,8 +275,12 @@ def warehouse_weeks(spark, folder):
     return grid.join(weeks, ["warehouse", "period"], "left").fillna(0.0, ["demand"])
 
 
+BALANCED = ["warehouse", "horizon"]
+
+
 def simulated(spark, folder, mode):
-    return scenarios.simulate(warehouse_weeks(spark, folder), F.lit(DAILY_CAP), scenarios.default_scenarios(spark), ["warehouse"], mode)
+    weeks = scenarios.horizons(warehouse_weeks(spark, folder), ["warehouse"])
+    return scenarios.simulate(weeks, F.lit(DAILY_CAP), scenarios.default_scenarios(spark), BALANCED, mode)
 
 
 def sop_sql(factor):
@@ -282,16 +289,19 @@ first AS (SELECT min(ds) AS d FROM facts),
 wk0 AS (SELECT warehouse, (floor((ds - d) / 7) + 1)::INTEGER AS period, sum(y) AS demand FROM facts, first GROUP BY 1, 2),
 wk AS (SELECT w.warehouse, p.period, coalesce(wk0.demand, 0) AS demand FROM (SELECT DISTINCT warehouse FROM facts) w
   CROSS JOIN (SELECT unnest(range(1, (SELECT max(period) + 1 FROM wk0)))::INTEGER AS period) p LEFT JOIN wk0 ON wk0.warehouse = w.warehouse AND wk0.period = p.period),
+hz AS (SELECT warehouse, (period - 1) // 12 AS horizon, (period - 1) % 12 + 1 AS period, demand FROM wk),
+full12 AS (SELECT h.warehouse, h.horizon, t.p::INTEGER AS period, h.demand FROM (SELECT *, max(period) OVER (PARTITION BY warehouse, horizon) AS n FROM hz) h
+  JOIN range(1, 13) t(p) ON (t.p - 1) % h.n + 1 = h.period),
 sc AS (SELECT * FROM (VALUES ('baseline', 1.0::DOUBLE, 1.0::DOUBLE, 0.95::DOUBLE), ('optimistic', 1.2, 1.1, 0.98), ('conservative', 0.85, 0.95, 0.90)) v(scenario, dm, cm, rel)),
-inp AS (SELECT scenario, warehouse, period, demand * dm AS demand, {DAILY_CAP} * 7 * cm AS capacity, {DAILY_CAP} * 7 * cm * ({factor}) AS supply FROM wk, sc WHERE period <= 12),
-steps(scenario, warehouse, period, demand, capacity, fulfilled, inventory) AS (
-  SELECT scenario, warehouse, 0, 0.0::DOUBLE, capacity, 0.0::DOUBLE, capacity * 0.3 FROM inp WHERE period = 1
-  UNION ALL SELECT i.scenario, i.warehouse, i.period, i.demand, i.capacity, least(i.demand, s.inventory + i.supply), s.inventory + i.supply - least(i.demand, s.inventory + i.supply)
-  FROM steps s JOIN inp i ON i.scenario = s.scenario AND i.warehouse = s.warehouse AND i.period = s.period + 1),
+inp AS (SELECT scenario, warehouse, horizon, period, demand * dm AS demand, {DAILY_CAP} * 7 * cm AS capacity, {DAILY_CAP} * 7 * cm * ({factor}) AS supply FROM full12, sc),
+steps(scenario, warehouse, horizon, period, demand, capacity, fulfilled, inventory) AS (
+  SELECT scenario, warehouse, horizon, 0, 0.0::DOUBLE, capacity, 0.0::DOUBLE, capacity * 0.3 FROM inp WHERE period = 1
+  UNION ALL SELECT i.scenario, i.warehouse, i.horizon, i.period, i.demand, i.capacity, least(i.demand, s.inventory + i.supply), s.inventory + i.supply - least(i.demand, s.inventory + i.supply)
+  FROM steps s JOIN inp i ON i.scenario = s.scenario AND i.warehouse = s.warehouse AND i.horizon = s.horizon AND i.period = s.period + 1),
 det AS (SELECT *, round(least(demand / capacity, 2), 3) AS utilization, demand - fulfilled > 1e-9 AS stockout,
   inventory * 0.25 * (7 / 365.0::DOUBLE) + (demand - fulfilled) * 50 AS cost FROM steps WHERE period > 0),
-kpi AS (SELECT scenario, warehouse, sum(fulfilled) / sum(demand) AS fill_rate, avg(utilization) AS avg_utilization, sum(cost) AS inventory_cost,
-  count(*) FILTER (stockout) AS stockout_events, count(*) AS periods FROM det GROUP BY 1, 2)"""
+kpi AS (SELECT scenario, warehouse, horizon, sum(fulfilled) / sum(demand) AS fill_rate, avg(utilization) AS avg_utilization, sum(cost) AS inventory_cost,
+  count(*) FILTER (stockout) AS stockout_events, count(*) AS periods FROM det GROUP BY 1, 2, 3)"""
 
 
 def recursive(factor, body):
@@ -301,33 +311,33 @@ def recursive(factor, body):
 EXPECTED = "rel + (1 - rel) * 0.7"
 
 
-@register("scenario_periods", recursive("1", "SELECT scenario, warehouse, period, round(demand, 2) AS demand, round(fulfilled, 4) AS fulfilled, round(inventory, 4) + 0.0 AS inventory, stockout FROM det"))
+@register("scenario_periods", recursive("1", "SELECT scenario, warehouse, horizon, period, round(demand, 2) AS demand, round(fulfilled, 4) AS fulfilled, round(inventory, 4) + 0.0 AS inventory, stockout FROM det"))
 def _(spark, folder):
     out = simulated(spark, folder, "always")
     return out.select(
-        "scenario", "warehouse", "period", F.round("demand", 2).alias("demand"), F.round("fulfilled", 4).alias("fulfilled"),
+        "scenario", "warehouse", "horizon", "period", F.round("demand", 2).alias("demand"), F.round("fulfilled", 4).alias("fulfilled"),
         tidy(F.col("inventory")).alias("inventory"), (F.col("missing") > 1e-9).alias("stockout"),
     )
 
 
-@register("scenario_kpis", recursive(EXPECTED, "SELECT scenario, warehouse, round(fill_rate, 6) AS fill_rate, round(avg_utilization, 4) AS avg_utilization, round(inventory_cost, 4) AS inventory_cost, periods, fill_rate >= 0.95 AS meets_target FROM kpi"))
+@register("scenario_kpis", recursive(EXPECTED, "SELECT scenario, warehouse, horizon, round(fill_rate, 6) AS fill_rate, round(avg_utilization, 4) AS avg_utilization, round(inventory_cost, 4) AS inventory_cost, periods, fill_rate >= 0.95 AS meets_target FROM kpi"))
 def _(spark, folder):
-    out = scenarios.scenario_kpis(simulated(spark, folder, "expected"), ["warehouse"])
+    out = scenarios.scenario_kpis(simulated(spark, folder, "expected"), BALANCED)
     return out.select(
-        "scenario", "warehouse", F.round("fill_rate", 6).alias("fill_rate"), F.round("avg_utilization", 4).alias("avg_utilization"),
+        "scenario", "warehouse", "horizon", F.round("fill_rate", 6).alias("fill_rate"), F.round("avg_utilization", 4).alias("avg_utilization"),
         F.round("inventory_cost", 4).alias("inventory_cost"), "periods", "meets_target",
     )
 
 
-@register("scenario_comparison", recursive(EXPECTED, "SELECT warehouse, count(*) AS scenarios_compared, arg_max(scenario, row(round(fill_rate, 9), -inventory_cost)) AS best_scenario, round(max(fill_rate), 6) AS best_fill_rate, max(fill_rate) >= 0.95 AS target_met FROM kpi GROUP BY 1"))
+@register("scenario_comparison", recursive(EXPECTED, "SELECT warehouse, horizon, count(*) AS scenarios_compared, arg_max(scenario, row(round(fill_rate, 9), -inventory_cost)) AS best_scenario, round(max(fill_rate), 6) AS best_fill_rate, max(fill_rate) >= 0.95 AS target_met FROM kpi GROUP BY 1, 2"))
 def _(spark, folder):
-    rows = scenarios.scenario_kpis(simulated(spark, folder, "expected"), ["warehouse"]).withColumn("fill_rate", F.round("fill_rate", 9))
-    return show(scenarios.compare(rows, ["warehouse"]), "warehouse", "scenarios_compared", "best_scenario", "target_met", digits=6, **num("best_fill_rate"))
+    rows = scenarios.scenario_kpis(simulated(spark, folder, "expected"), BALANCED).withColumn("fill_rate", F.round("fill_rate", 9))
+    return show(scenarios.compare(rows, BALANCED), "warehouse", "horizon", "scenarios_compared", "best_scenario", "target_met", digits=6, **num("best_fill_rate"))
 
 
 @register("scenario_random_supply")
 def _(spark, folder):
-    return scenarios.scenario_kpis(simulated(spark, folder, "random"), ["warehouse"])
+    return scenarios.scenario_kpis(simulated(spark, folder, "random"), BALANCED)
 
 
 # ---- quality and contracts -------------------------------------------------------------------------------------

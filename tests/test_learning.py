@@ -41,9 +41,70 @@ def test_blocks_leave_no_neighbour_out(cloud):
     np.testing.assert_allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
 
 
+def test_index_measures_few_pairs(spark):
+    """Clustered points: at most a tenth of all distances is measured, half the growth of queries x train."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (1000, 4000):
+        centre = rng.uniform(0, 100, (40, 6))
+        x = centre[rng.integers(0, 40, n)] + rng.normal(0, 0.5, (n, 6))
+        df = spark.createDataFrame([(f"p{i:05d}", Vectors.dense(v), 0.0) for i, v in enumerate(x)], ["Product_ID", "features", "label"])
+        queries, counter = df.where("Product_ID < 'p00200'"), spark.sparkContext.accumulator(0)
+        got = neighbours.nearest_of_all(df, queries, k=5, measured=counter).collect()
+        shares.append(counter.value / (200 * n))
+        want = np.sort(np.sqrt(((x[:200, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, :5]
+        for r in got:
+            assert abs(r["distance"] - want[int(r["query"][1:]), r["position"] - 1]) < 1e-9
+        assert len(got) == 1000
+    assert max(shares) <= 0.1 and shares[1] <= shares[0] * 1.5
+
+
+def test_neighbours_of_awkward_tables(spark, cloud):
+    _, _, df = cloud
+    same = spark.createDataFrame([(f"s{i}", Vectors.dense([1.0, 1.0]), 0.0) for i in range(50)], ["Product_ID", "features", "label"])
+    got = neighbours.nearest_of_all(same, same.limit(2), k=7, block=10).collect()
+    assert {(r["neighbour"], r["distance"]) for r in got} == {(k, 0.0) for k in sorted(f"s{i}" for i in range(50))[:7]}
+    assert neighbours.nearest_of_all(same.where("false"), same).count() == 0 and neighbours.nearest_of_all(same, same.where("false")).count() == 0
+    assert len(neighbours.nearest_of_all(same.where("Product_ID < 's1'"), same.limit(3), k=7).collect()) == 3
+
+
+def brute_density(x, eps, min_points):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps
+    core = near.sum(axis=1) >= min_points
+    root = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if root[i] < 0:
+            queue = [i]
+            root[i] = i
+            while queue:
+                for j in np.flatnonzero(near[queue.pop()] & core & (root < 0)):
+                    root[j] = i
+                    queue.append(j)
+    for i in np.flatnonzero(~core):
+        own = [root[j] for j in np.flatnonzero(near[i] & core)]
+        root[i] = min(own) if own else -1
+    return root
+
+
+def test_density_clusters_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.normal(0, 1, (900, 11)), rng.normal(5, 0.8, (600, 11)), rng.uniform(-8, 12, (400, 11)), np.zeros((100, 11))]
+    rows = [(f"p{i:05d}", Vectors.dense(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["Product_ID", "features"])
+    got = {r["Product_ID"]: r["cluster"] for r in cluster.density_clusters(df, tile=300).collect()}
+    want = brute_density(x, 2.5, 10)
+    names = {}
+    for i, w in enumerate(want):
+        c = got[f"p{i:05d}"]
+        assert (c == -1) == (w == -1)
+        if w >= 0:
+            assert names.setdefault(c, w) == w
+    assert len(set(names.values())) == len(names) > 1 and (want == -1).any()
+
+
 def test_density_clusters(cloud):
     _, label, df = cloud
-    out = {r.Product_ID: r.cluster for r in cluster.density_clusters(df, eps=2.0, min_points=10, dims=2).collect()}
+    out = {r.Product_ID: r.cluster for r in cluster.density_clusters(df, eps=2.0, min_points=10).collect()}
     assert len(out) == len(label)
     first, second = ({out[f"p{i:04d}"] for i in np.flatnonzero(label == c)} for c in (0, 1))
     main = max(first, key=lambda c: sum(v == c for v in out.values()))
@@ -78,6 +139,59 @@ def test_reconstruction_error_matches_projection(cloud):
     np.testing.assert_allclose([got[f"p{i}"] for i in range(len(x))], want, atol=1e-8)
 
 
+def plain_samme(x, y, edges, rounds, classes):
+    """Stumps one by one on plain floats: (feature, edge number, classes of both sides, log odds)."""
+    w, out = np.ones(len(y)), []
+    for _ in range(rounds):
+        best = None
+        for j in range(x.shape[1]):
+            for b, e in enumerate(edges[j]):
+                sides = [np.array([w[m & (y == c)].sum() for c in range(classes)]) for m in (x[:, j] <= e, x[:, j] > e)]
+                if min(s.sum() for s in sides) > 0:
+                    pure = sum((s**2).sum() / s.sum() for s in sides)
+                    if best is None or pure > best[0] * (1 + 1e-9):
+                        best = (pure, j, b, sides[0].argmax(), sides[1].argmax())
+        _, j, b, low, high = best
+        miss = np.where(x[:, j] <= edges[j][b], low, high) != y
+        error = w[miss].sum() / w.sum()
+        if error >= 1 - 1 / classes:
+            break
+        alpha = np.log((1 - error) / max(error, 1e-10)) + np.log(classes - 1)
+        out.append((j, b, low, high, alpha))
+        w = w * np.exp(alpha * miss)
+        w *= len(y) / w.sum()
+    return out
+
+
+def test_samme_equals_plain_stumps_in_every_fold(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(0, 1, (400, 4)), 3)
+    y = np.digitize(x[:, 0] + 0.7 * x[:, 1] + rng.normal(0, 0.4, 400), [-0.5, 0.6])
+    df = spark.createDataFrame([(Vectors.dense(v), float(c), i % 3) for i, (v, c) in enumerate(zip(x, y))], ["features", "label", "fold"])
+    models = classify.SteppedTrees(rounds=12).fit_groups(df, [F.col("fold") != k for k in range(3)])
+    for k, model in enumerate(models):
+        own = np.arange(400) % 3 != k
+        cells = dict(zip(model.vote.__code__.co_freevars, [c.cell_contents for c in model.vote.__closure__]))
+        want = plain_samme(x[own], y[own], cells["edges"], 12, 3)
+        got = [(int(f[0]), int(c[0]), int(v[0]), int(v[1]), a) for f, c, v, a in cells["members"]]
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        np.testing.assert_allclose([g[4] for g in got], [w[4] for w in want], rtol=1e-9)
+
+
+def test_nine_models_cross_validated(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (240, len(prepare.CLASSIFICATION_FEATURES)))
+    y = np.digitize(x[:, 0] - x[:, 2], [-0.6, 0.6])
+    rows = [(f"k{i:03d}", Vectors.dense(v), float(c)) for i, (v, c) in enumerate(zip(x, y))]
+    train, test = prepare.train_test(spark.createDataFrame(rows, ["Product_ID", "raw_features", "label"]))
+    models = classify.classifiers()
+    models["MLP (ANN)"] = models["MLP (ANN)"].copy({models["MLP (ANN)"].maxIter: 30})
+    table = {r["model"]: r for r in classify.cross_validate(train, models, folds=2).collect()}
+    assert set(table) == set(models) and all(0.4 < r["cv_mean"] <= 1 and r["cv_std"] >= 0 for r in table.values())
+    scores = {r["model"]: r["accuracy"] for r in classify.compare(train, test, models).collect()}
+    assert set(scores) == set(models) and scores["Gradient Boosting"] > 0.6 and scores["AdaBoost"] > 0.6
+
+
 def test_stumps_learn(cloud):
     _, _, df = cloud
     model = classify.SteppedTrees(rounds=6, depth=2).fit(df)
