@@ -14,7 +14,7 @@ from shelfcast.plans.base import BRAND, Query, sql
 from shelfcast.plans.planning import LOG, SIGNALS, daily_errors, stamp, stamp_sql
 from shelfcast.session import work_folder
 from shelfcast.sources import feeds
-from shelfcast.streaming import jobs
+from shelfcast.streaming import jobs, state
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,33 @@ def _(spark, folder):
     return out.select("user_id", stamp("slot"), "requests")
 
 
+def closed(spark: SparkSession, rows: DataFrame, name: str, end: DataFrame) -> str:
+    """A folder with ``rows`` in one file set and, newer, ``end``: rows that only move the watermark beyond all others."""
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    end.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_request_decisions", "WITH RECURSIVE " + LOG.strip() + """,
+o AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM log),
+r AS (SELECT user_id, n, ts, event_id, TRUE AS accepted, [ts] AS times FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.n, o.ts, o.event_id, len(k) < 1, CASE WHEN len(k) < 1 THEN list_append(k, o.ts) ELSE k END
+  FROM (SELECT o.*, list_filter(r.times, lambda t: t > o.ts - INTERVAL 60 SECOND) AS k FROM o JOIN r ON o.user_id = r.user_id AND o.n = r.n + 1) o)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id, accepted FROM r""")
+def _(spark, folder):
+    log = feeds.request_log(spark, folder).select("user_id", "ts", "event_id")
+    end = log.agg(F.max("ts").alias("ts")).select(F.lit("").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("").alias("event_id"))
+    path = closed(spark, log, "requests", end)
+
+    def stream(own):
+        files = own.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, len(spark.read.parquet(path).inputFiles()) - 1)).parquet(path)
+        return state.request_decisions(files, limit=1)
+
+    out = keyed(spark, stream, "decisions")
+    return out.where("user_id <> ''").select("user_id", stamp("ts"), "event_id", "accepted")
+
+
 @register("stream_daily_signals", sql(SIGNALS, """, e AS (SELECT s.*, e.ts FROM signals s JOIN events e USING (event_id))
 SELECT product_id, source, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(signal_value), 2) AS total FROM e
 GROUP BY product_id, source, time_bucket(INTERVAL 1 DAY, ts)"""))
@@ -113,13 +140,13 @@ def _(spark, folder):
 
 
 @register("stream_spike_alerts", sql(SIGNALS, """, e AS (SELECT s.event_id, s.product_id, s.source, s.signal_value, e.ts FROM signals s JOIN events e USING (event_id)),
-m AS (SELECT product_id, avg(signal_value) AS m, stddev_samp(signal_value) AS sd FROM e WHERE CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) FROM e) - 14 GROUP BY 1 HAVING count(*) >= 2)
-SELECT event_id, product_id, source, round((signal_value - m) / sd, 4) AS sigma FROM e JOIN m USING (product_id) WHERE sd > 0 AND (signal_value - m) / sd > 2.5"""))
+d AS (SELECT product_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(signal_value) AS s1, sum(signal_value * signal_value) AS s2 FROM e GROUP BY 1, 2),
+w AS (SELECT a.product_id, a.day, sum(b.n) AS n, sum(b.s1) AS s1, sum(b.s2) AS s2 FROM d a JOIN d b ON a.product_id = b.product_id AND b.day > a.day - 14 AND b.day <= a.day GROUP BY 1, 2),
+m AS (SELECT product_id, day, s1 / n AS m, sqrt(greatest(0, (s2 - s1 * s1 / n) / (n - 1))) AS sd FROM w WHERE n >= 2)
+SELECT event_id, e.product_id, source, round((signal_value - m) / sd, 4) AS sigma FROM e JOIN m ON m.product_id = e.product_id AND m.day = CAST(e.ts AS DATE)
+WHERE sd > 0 AND (signal_value - m) / sd > 2.5"""))
 def _(spark, folder):
-    history, found = scratch(spark, "history"), scratch(spark, "spikes")
-    signals = streamed_signals(spark, folder)
-    jobs.spike_alerts(signals, history, found, scratch(spark, "spikes-ckpt")).awaitTermination()
-    out = spark.read.parquet(f"{found}/epoch=*")
+    out = keyed(spark, lambda own: state.spikes(streamed_signals(own, folder), keep=100_000), "spikes")
     return out.select("event_id", "product_id", "source", F.round("sigma", 4).alias("sigma"))
 
 
@@ -130,9 +157,21 @@ g AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY model OR
 s AS (SELECT model, ds, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY model, grp ORDER BY ds)::BIGINT AS streak FROM g)
 SELECT model, strftime(ds, '%Y-%m-%d') AS ds, streak, CASE WHEN streak >= 7 THEN 'AUTO_RETRAIN' ELSE 'MONITOR' END AS action FROM s"""))
 def _(spark, folder):
+    """Days arrive in the order of a hash, in several batches; the newest row of each day holds."""
     daily = daily_errors(spark, folder).withColumn("ds", F.col("ds").cast("timestamp"))
-    out = keyed(spark, lambda own: jobs.breach_streaks(stream_files(own, daily, "daily")), "streaks")
-    return out.select("model", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "streak", "action")
+    shuffled = daily.repartition(4, F.xxhash64("model", "ds"))
+
+    def stream(own):
+        path = scratch(spark, "daily-in")
+        shuffled.write.parquet(path)
+        return state.ordered_streaks(own.readStream.schema(daily.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+    own = stream_session(spark, keyed_state=True)
+    out, changes = scratch(spark, "streaks"), stream(own)
+    jobs.start(changes, lambda df, epoch: jobs.write_batch(df, epoch, out), scratch(spark, "streaks-ckpt"), True, "update").awaitTermination()
+    rows = spark.read.parquet(out)
+    newest = rows.groupBy("model", "ds").agg(F.max_by(F.struct("streak", "action"), "epoch").alias("v"))
+    return newest.select("model", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "v.streak", "v.action")
 
 
 LATEST = sql(BRAND, "SELECT unique_id, strftime(max(ds), '%Y-%m-%d') AS ds, arg_max(y, ds) AS y FROM y GROUP BY 1")
@@ -148,12 +187,12 @@ def _(spark, folder):
 
 @register("stream_feature_store", LATEST)
 def _(spark, folder):
-    store = scratch(spark, "store")
-    stream = stream_files(spark, base.brand_demand(spark, folder), "features")
-    query = jobs.keep_features(stream, store, scratch(spark, "store-ckpt"))
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(f"{store}/version={last}").select("unique_id", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "y")
+    """The online lookup: newest values come from the stream's state, no table is kept."""
+    demand = base.brand_demand(spark, folder).withColumn("ds", F.col("ds").cast("timestamp"))
+    own, checkpoint = stream_session(spark, keyed_state=True), scratch(spark, "store-ckpt")
+    updates = jobs.latest_values(stream_files(own, demand, "features"))
+    jobs.start(updates, lambda df, epoch: df.write.format("noop").mode("overwrite").save(), checkpoint, True, "update").awaitTermination()
+    return state.lookup(own, checkpoint).select("unique_id", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "y")
 
 
 @register("stream_file_ingest")

@@ -1,12 +1,14 @@
 """Streaming jobs: restarts neither lose nor repeat rows, and state survives between batches."""
 
 import datetime as dt
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.sources.files import write_csv
-from shelfcast.streaming import jobs
+from shelfcast.streaming import jobs, state
 
 
 def test_files_are_ingested_once(spark, dirty, tmp_path):
@@ -79,3 +81,80 @@ def test_drift_rate_windows(spark, tmp_path):
 def test_csv_writer(spark, dirty, tmp_path):
     write_csv(dirty, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns[0] == "Product_ID"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def batches(spark, tmp_path, parts, schema, build, mode="append"):
+    """Each part arrives as its own batch; all output rows in order of the batch."""
+    source, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.start(build(spark.readStream.schema(schema).parquet(source)), lambda df, epoch: jobs.write_batch(df, epoch, out), ckpt, True, mode).awaitTermination()
+    return spark.read.parquet(out).orderBy("epoch").collect()
+
+
+def replay(requests, limit, seconds):
+    """Sequential limiter: only accepted requests of the last span count."""
+    kept, out = {}, {}
+    for user, ts, name in sorted(requests, key=lambda r: (r[1], r[2])):
+        mine = [t for t in kept.get(user, []) if t > ts - dt.timedelta(seconds=seconds)]
+        out[user, name] = len(mine) < limit
+        kept[user] = mine + [ts] * (len(mine) < limit)
+    return out
+
+
+def test_request_limit_equals_a_replay_with_late_and_tied_requests(rocks, tmp_path):
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1, 10)
+    requests = [(f"u{i % 3}", start + dt.timedelta(seconds=rng.choice([rng.randrange(600), 30, 60])), f"e{i:03d}") for i in range(240)]
+    order = sorted(requests, key=lambda r: r[1].timestamp() + rng.uniform(0, 200))
+    parts = [order[:90], order[90:170], order[170:], [("end", start + dt.timedelta(hours=5), "x")]]
+    got = batches(rocks, tmp_path, parts, "user_id string, ts timestamp, event_id string", lambda s: state.request_decisions(s, 4, 60, "10 minutes"))
+    assert {(r.user_id, r.event_id): r.accepted for r in got} == replay(requests, 4, 60) and len(got) == 240
+
+
+def test_spikes_judge_late_signals_by_their_own_days(rocks, tmp_path):
+    day = dt.datetime(2024, 3, 1, 12)
+    calm = [(f"a{i}", "p", "pos", day + dt.timedelta(days=i), 10.0 + i % 2) for i in range(20)]
+    later = [(f"b{i}", "p", "pos", day + dt.timedelta(days=40 + i), 1000.0 + 10 * (i % 2)) for i in range(14)]
+    late = [("late", "p", "pos", day + dt.timedelta(days=15, hours=1), 30.0), ("fine", "p", "pos", day + dt.timedelta(days=50, hours=1), 1005.0)]
+    schema = "event_id string, product_id string, source string, ts timestamp, signal_value double"
+    got = batches(rocks, tmp_path, [calm, later, late], schema, lambda s: state.spikes(s, sigma=2.5))
+    assert [r.event_id for r in got] == ["late"]
+    values = [10.0 + i % 2 for i in range(2, 16)] + [30.0]
+    mean = sum(values) / len(values)
+    sd = (sum((v - mean) ** 2 for v in values) / (len(values) - 1)) ** 0.5
+    assert got[0].sigma == pytest.approx((30 - mean) / sd)
+
+
+def test_streaks_of_shuffled_days_equal_ordered_days(rocks, tmp_path):
+    rng = random.Random(2)
+    rows = [(m, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), rng.choice([10.0, 25.0, 30.0])) for m in ("a", "b") for i in range(60)]
+    mixed = rng.sample(rows, len(rows))
+    got = batches(rocks, tmp_path, [mixed[:50], mixed[50:90], mixed[90:]], "model string, ds timestamp, mape double", state.ordered_streaks, "update")
+    newest = {(r.model, r.ds): (r.streak, r.action) for r in got}
+    for m in ("a", "b"):
+        n = 0
+        for _, day, value in sorted(r for r in rows if r[0] == m):
+            n = n + 1 if value > 20 else 0
+            assert newest[m, day] == (n, "AUTO_RETRAIN" if n >= 7 else "MONITOR")
+    assert len(newest) == 120
+
+
+def test_old_days_are_closed(rocks, tmp_path):
+    days = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 30.0) for i in range(30)]
+    got = batches(rocks, tmp_path, [days[:20], days[20:]], "model string, ds timestamp, mape double", lambda s: state.ordered_streaks(s, keep=5), "update")
+    assert sorted((r.ds, r.streak) for r in got) == [(d[1], i + 1) for i, d in enumerate(days)]
+
+
+def test_lookup_reads_the_state(rocks, tmp_path):
+    rows = [("a", dt.datetime(2024, 1, d), float(d)) for d in (1, 5, 3)] + [("b", dt.datetime(2024, 1, 2), 7.0)]
+    batches(rocks, tmp_path, [rows[:2], rows[2:]], "unique_id string, ds timestamp, y double", jobs.latest_values, "update")
+    found = {r.unique_id: (r.ds.day, r.y) for r in state.lookup(rocks, str(tmp_path / "ckpt")).collect()}
+    assert found == {"a": (5, 5.0), "b": (2, 7.0)}
+    assert [r.unique_id for r in state.lookup(rocks, str(tmp_path / "ckpt"), ["b"]).collect()] == ["b"]
