@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,34 @@ def register(name: str, model: Model) -> None:
     _MODELS[name] = model
 
 
+#: Rows that one series may have for a model that is fitted series by series: three centuries of days.
+MOST_ROWS = 100_000
+
+
+def series_model(fit: Callable[[pd.DataFrame], object], predict: Callable[[object, int], Sequence[float]], most_rows: int = MOST_ROWS, lookback: int | None = None) -> Model:
+    """A model from plain functions of one series: ``fit`` gets its rows (ds, y) in order of day, ``predict`` gives the
+    values of the coming days. Series are fitted side by side where their rows are; one of more than ``most_rows`` ends the
+    run with an error that names it. ``lookback`` says how many last rows ``fit`` needs, all if None."""
+
+    def run(demand: DataFrame, horizon: int, keys: Sequence[str] = SERIES) -> DataFrame:
+        def one(key: tuple, table: pa.Table) -> pa.Table:
+            if table.num_rows > most_rows:
+                raise ValueError(f"series {key} has {table.num_rows} rows, more than {most_rows}")
+            rows = table.select(["ds", "y"]).to_pandas().sort_values("ds", ignore_index=True)
+            values = [max(0.0, float(v)) for v in predict(fit(rows), horizon)]
+            last = rows["ds"].iloc[-1]
+            out = {k: pa.array([v.as_py() if hasattr(v, "as_py") else v] * len(values), table.schema.field(k).type) for k, v in zip(keys, key, strict=True)}
+            return pa.table(out | {"ds": pa.array([last + dt.timedelta(days=i + 1) for i in range(len(values))], pa.date32()), "y_hat": pa.array(values, pa.float64())})
+
+        rows = demand.select(*keys, F.col("ds").cast("date").alias("ds"), F.col("y").cast("double").alias("y"))
+        types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+        return rows.groupBy(*keys).applyInArrow(one, f"{types}, ds date, y_hat double")
+
+    if lookback is not None:
+        run.lookback = lookback
+    return run
+
+
 def create(name: str) -> Model:
     if name == "routing_ensemble":
         return routed_forecast

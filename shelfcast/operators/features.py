@@ -5,7 +5,7 @@ A series has at most one row per day, so windows over one series are bounded by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +42,23 @@ def demand_features(demand: DataFrame, keys: Sequence[str] = ("unique_id",)) ->
     )
 
 
-def feature_table(demand: DataFrame, future: DataFrame | None = None, past: DataFrame | None = None) -> DataFrame:
-    """Demand features with known-ahead and observed drivers joined on series and day."""
+#: Feature groups by name: a function of demand (unique_id, ds, y) that gives (unique_id, ds, columns of the group).
+_GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_group(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a feature group that ``feature_table`` joins where it is asked for."""
+    _GROUPS[name] = build
+
+
+def feature_table(demand: DataFrame, future: DataFrame | None = None, past: DataFrame | None = None, groups: Sequence[str] = ()) -> DataFrame:
+    """Demand features with known-ahead and observed drivers and registered groups joined on series and day."""
+    unknown = [g for g in groups if g not in _GROUPS]
+    if unknown:
+        raise ValueError(f"Unknown feature groups: {unknown}. Available: {sorted(_GROUPS)}")
     out = demand_features(demand)
+    for name in groups:
+        out = out.join(_GROUPS[name](demand), ["unique_id", "ds"], "left")
     if future is not None:
         out = out.join(future.select("unique_id", "ds", "promo_flag", "is_holiday", "temperature"), ["unique_id", "ds"], "left")
     if past is not None:

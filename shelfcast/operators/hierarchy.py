@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.forecasting.evaluation import mape
 from shelfcast.operators.scale import attach
+from shelfcast.session import pin
 
 LEVELS = ("national", "warehouse", "category", "sku")
 PATH = ("warehouse", "category", "subcategory")
@@ -56,8 +57,11 @@ def least_squares(forecasts: DataFrame, static: DataFrame, weights: DataFrame |
     """Reconcile forecasts of all levels by (weighted) least squares, then clip at zero.
 
     ``forecasts`` is (level, unique_id, ds, y_hat); a missing node counts as zero. ``weights`` is
-    (level, unique_id, variance) for the weighted form. Each level costs one aggregation and one join back.
+    (level, unique_id, variance) for the weighted form. Each level costs one aggregation and one join back. The forecasts are
+    stored first, since every level reads them.
     """
+    forecasts = pin(forecasts.select("level", "unique_id", "ds", "y_hat"), "base-forecasts")
+
     def level(name: str, key: str) -> DataFrame:
         rows = forecasts.where(F.col("level") == name)
         if weights is not None:

@@ -106,9 +106,10 @@ def exact_quantiles(
     ``level`` may move a probability by less than two ranks depending on the number of values.
 
     A sketch of bounded size gives fences around every wanted rank. Values outside the fences only count, values
-    inside keep their identity, so the second aggregation shuffles a sliver of the data. The cells are summed up by
-    ``running_totals``, so one group with most of them spreads over tasks. Should a rank ever fall outside its fence, all
-    values are counted instead; the result is exact either way.
+    inside keep their identity, so the second aggregation shuffles a sliver of the data. The fences are the only table
+    that is written: they tell how many cells a group can have. Few cells are walked in one row per group; many are summed
+    up by ``running_totals``, so one group with most of them spreads over tasks. A rank outside its fence, which the
+    sketch's error bound rules out, ends the query with an error instead of a wrong value.
     """
     by = list(by)
     probs = list(probabilities.items())
@@ -119,12 +120,11 @@ def exact_quantiles(
     marks = [m for _, p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
     # Few values: no fence, the group is bounded anyway. Many: every fence spans at least five ranks on each side.
     open_fence = F.array(*[F.lit(m).cast("double") for _ in probs for m in ("-Infinity", "Infinity")])
-    few = F.count(F.lit(1)) <= int(5 / slack)
-    sketch = F.when(few, open_fence).otherwise(F.percentile_approx("v", marks, accuracy))
-    if by:
-        fenced = src.join(src.groupBy(*by).agg(sketch.alias("f")), by)
-    else:
-        fenced = src.withColumn("f", scalars(src, f=sketch)["f"])
+    small = int(5 / slack)
+    sketch = F.when(F.count(F.lit(1)) <= small, open_fence).otherwise(F.percentile_approx("v", marks, accuracy))
+    fences = pin(src.groupBy(*by).agg(sketch.alias("f"), F.count(F.lit(1)).alias("n")), "fences")
+    most = fences.agg(F.max("n")).head()[0] or 0
+    fenced = src.join(fences.drop("n"), by) if by else src.withColumn("f", scalars(fences, f=F.first("f"))["f"])
     fence = F.col("f")
 
     inside, below = F.lit(False), []
@@ -134,25 +134,50 @@ def exact_quantiles(
         below.append(F.when(hi < F.col("v"), hi))
     under = F.coalesce(F.greatest(*below) if len(below) > 1 else below[0], F.lit(float("-inf")))
     cells = fenced.select(*by, F.when(inside, F.col("v")).otherwise(under).alias("at"), F.when(inside, 0).otherwise(1).alias("gap"))
-    got = pin(_picked(cells, by, probs, level), "quantiles")
-    missed = reduce(lambda a, b: a | b, [F.col(f"lo_{n}").isNull() | F.col(f"hi_{n}").isNull() for n, _ in probs])
-    if not got.where((F.col("total") > 0) & missed).isEmpty():
-        got = _picked(src.select(*by, F.col("v").alias("at"), F.lit(0).alias("gap")), by, probs, level)
+    cells = cells.groupBy(*by, "at", "gap").agg(F.count(F.lit(1)).alias("c"))
+    packed = most <= small or 3 * slack * most * len(probs) <= PACKED
+    got = (_walked if packed else _picked)(cells, by, probs, level)
     out = []
     for name, p in probs:
         spot, lo, hi = _spot(p, level), F.col(f"lo_{name}"), F.col(f"hi_{name}")
-        out.append((lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
+        missed = (F.col("total") > 0) & (lo.isNull() | hi.isNull())
+        error = F.raise_error(F.lit("a quantile lies outside its fence")).cast("double")
+        out.append(F.when(missed, error).otherwise(lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
     return got.select(*by, *out)
 
 
+#: Cells of a group that are walked in one row.
+PACKED = 100_000
+
+
+def _walked(cells: DataFrame, by: list[str], probs: list[tuple[str, float]], level) -> DataFrame:
+    """As ``_picked``, for groups of few cells: one row per group holds them in order and is walked once."""
+    rows = cells.groupBy(*by).agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.struct("at", "gap", "c"))).alias("cells")
+    )
+    ranks = {}
+    for name, p in probs:
+        low = F.floor(_spot(p, level)) + 1
+        ranks[f"lo_{name}"], ranks[f"hi_{name}"] = low, F.least(low + 1, F.col("total"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("long").alias("upto"), *[none.alias(n) for n in ranks])
+
+    def step(s: Column, x: Column) -> Column:
+        upto = s["upto"] + x["c"]
+        hit = {n: (r > s["upto"]) & (r <= upto) & (x["gap"] == 0) for n, r in ranks.items()}
+        return F.struct(upto.alias("upto"), *[F.when(hit[n], x["at"]).otherwise(s[n]).alias(n) for n in ranks])
+
+    walked = rows.select(*by, "total", F.aggregate("cells", start, step).alias("w"))
+    return walked.select(*by, "total", *[F.col(f"w.{n}").alias(n) for n in ranks])
+
+
 def _spot(p: float, level) -> Column:
     exact = F.lit(float(p)) if level is None else level(p, F.col("total").cast("double"))
     return (F.col("total") - 1) * exact
 
 
-def _picked(values: DataFrame, by: list[str], probs: list[tuple[str, float]], level) -> DataFrame:
+def _picked(cells: DataFrame, by: list[str], probs: list[tuple[str, float]], level) -> DataFrame:
     """(by, total, lo_, hi_ per probability): the values at the ranks around each quantile, null where a gap holds them."""
-    cells = values.groupBy(*by, "at", "gap").agg(F.count(F.lit(1)).alias("c"))
     placed = running_totals(cells, [F.col("at"), F.col("gap")], {"last": F.col("c")}, by=by)
     sums = placed.groupBy(*by).agg(F.max("last").alias("total"))
     placed = placed.join(sums, by) if by else placed.withColumn("total", sums.select("total").scalar())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcast.operators.etl import clean_inventory, prepare
 from shelfcast.operators.inventory import enrich_base, health
 from shelfcast.operators.supply import enrich_supply
+from shelfcast.operators.supply import valid_orders as valid_rows
 from shelfcast.session import file_system, pin, work_folder
 from shelfcast.sources import feeds
 
@@ -62,6 +63,11 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return prepare(raw(spark, folder))
 
 
+def valid_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows below the 99th percentile fence, which several queries read."""
+    return pinned(spark, folder, "valid-orders", lambda: valid_rows(supply(spark, folder)))
+
+
 def brand_demand(spark: SparkSession, folder: str) -> DataFrame:
     return pinned(spark, folder, "brand", lambda: feeds.brand_demand(spark, folder))
 

@@ -278,13 +278,13 @@ def _(spark, folder):
 
 @register("valid_order_quantities", sql(VALID, "SELECT Product_ID, round(EOQ, 4) AS EOQ FROM valid"))
 def _(spark, folder):
-    return rounded(supply.valid_orders(base.supply(spark, folder)), ["Product_ID"], **same("EOQ"))
+    return rounded(base.valid_orders(spark, folder), ["Product_ID"], **same("EOQ"))
 
 
 @register("eoq_by_category", sql(VALID, """SELECT Category, count(*) AS skus, round(min(EOQ), 4) AS low, round(quantile_cont(EOQ, 0.25), 4) AS q1,
 round(quantile_cont(EOQ, 0.5), 4) AS median, round(quantile_cont(EOQ, 0.75), 4) AS q3, round(max(EOQ), 4) AS high FROM valid GROUP BY 1"""))
 def _(spark, folder):
-    out = supply.eoq_by_category(supply.valid_orders(base.supply(spark, folder)))
+    out = supply.eoq_by_category(base.valid_orders(spark, folder))
     return rounded(out, ["Category", "skus"], **same("low", "q1", "median", "q3", "high"))
 
 
@@ -292,13 +292,13 @@ def _(spark, folder):
 SELECT i::INTEGER AS step, round(1 + i * (top - 1) / 199, 4) AS annual_demand, round(sqrt(2 * (1 + i * (top - 1) / 199) * 50 / h), 4) AS eoq
 FROM t, range(200) r(i)"""))
 def _(spark, folder):
-    return rounded(supply.eoq_curve(supply.valid_orders(base.supply(spark, folder))), ["step"], **same("annual_demand", "eoq"))
+    return rounded(supply.eoq_curve(base.valid_orders(spark, folder)), ["step"], **same("annual_demand", "eoq"))
 
 
 @register("order_cost_breakdown", sql(VALID, """SELECT Category, round(sum(EOQ / 2 * Holding_Cost), 2) AS holding, round(sum(Annual_Orders * 50), 2) AS ordering
 FROM valid GROUP BY 1"""))
 def _(spark, folder):
-    return rounded(supply.cost_breakdown(supply.valid_orders(base.supply(spark, folder))), ["Category"], 2, **same("holding", "ordering"))
+    return rounded(supply.cost_breakdown(base.valid_orders(spark, folder)), ["Category"], 2, **same("holding", "ordering"))
 
 
 @register("order_cost_curve", sql(VALID, """,
@@ -306,19 +306,19 @@ q AS (SELECT Category, i::INTEGER AS step, 10 + i * (Annual_Demand * 0.5 - 10) /
 SELECT Category, step, round(avg(quantity), 4) AS quantity, round(sum(quantity / 2 * h), 2) AS holding, round(sum(d / quantity * 50), 2) AS ordering,
   round(sum(quantity / 2 * h + d / quantity * 50), 2) AS total FROM q GROUP BY 1, 2"""))
 def _(spark, folder):
-    curves = supply.category_curves(supply.valid_orders(base.supply(spark, folder)))
+    curves = supply.category_curves(base.valid_orders(spark, folder))
     return rounded(curves.withColumn("quantity", F.round("quantity", 4)), ["Category", "step", "quantity"], 2, **same("holding", "ordering", "total"))
 
 
 @register("orders_per_year", sql(VALID, "SELECT floor(least(Annual_Orders, 52))::INTEGER AS orders_per_year, count(*) AS skus FROM valid GROUP BY 1"))
 def _(spark, folder):
-    return supply.orders_per_year(supply.valid_orders(base.supply(spark, folder)))
+    return supply.orders_per_year(base.valid_orders(spark, folder))
 
 
 @register("monthly_savings", sql(VALID, """SELECT Category, round(sum(greatest(Annual_Demand / 12 / 2 * Holding_Cost + 12 * 50 - Total_Inventory_Cost, 0)), 2) AS savings
 FROM valid GROUP BY 1"""))
 def _(spark, folder):
-    return rounded(supply.monthly_savings(supply.valid_orders(base.supply(spark, folder))), ["Category"], 2, **same("savings"))
+    return rounded(supply.monthly_savings(base.valid_orders(spark, folder)), ["Category"], 2, **same("savings"))
 
 
 VENDOR_SQL = ENRICHED + """,

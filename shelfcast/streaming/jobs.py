@@ -6,19 +6,21 @@ replay, so a restarted job neither loses nor repeats rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from shelfcast import constants as K
 from shelfcast.functions.numeric import hits
 from shelfcast.operators.etl import CLEAN_COLUMNS, feed_counters, prepare
 from shelfcast.operators.features import upsert_features
+from shelfcast.session import file_system
 from shelfcast.sources.files import RAW_SCHEMA
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,14 +39,53 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
 # ---- arriving files --------------------------------------------------------------------------------------------
 
 
-def feed_stream(spark: SparkSession, folder: str, max_files: int = 100, archive: str | None = None) -> DataFrame:
-    """Dirty inventory files as they arrive; with ``archive`` a finished file moves there."""
+def feed_stream(spark: SparkSession, folder: str, max_files: int = 100, archive: str | None = None, delete: bool = False) -> DataFrame:
+    """Dirty inventory files as they arrive; with ``archive`` a finished file moves there, with ``delete`` it goes."""
     reader = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", max_files)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    elif delete:
+        reader = reader.option("cleanSource", "delete")
     return reader.csv(folder)
 
 
+def sweep(spark: SparkSession, folder: str, keep_seconds: float, now: float | None = None) -> list[str]:
+    """Delete files of a folder that were last changed more than ``keep_seconds`` ago; their paths.
+
+    It catches what a stream's own cleaning leaves: files of failed runs, and those that were staged but never read. Hidden
+    files are left alone.
+    """
+    fs, at = file_system(spark, folder)
+    limit, gone = ((time.time() if now is None else now) - keep_seconds) * 1000, []
+    for found in fs.listStatus(at) if fs.exists(at) else ():
+        path = found.getPath()
+        if found.isFile() and not path.getName().startswith((".", "_")) and found.getModificationTime() < limit and fs.delete(path, False):
+            gone.append(path.toString())
+    return sorted(gone)
+
+
+class ProgressRows(StreamingQueryListener):
+    """Appends one row per batch of every query of the session to a Parquet table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (str(p.id), p.name, p.batchId, p.timestamp, p.numInputRows, int(p.batchDuration), float(p.processedRowsPerSecond or 0.0))
+        kind = "query string, name string, batch long, at string, rows long, duration_ms long, rows_per_second double"
+        self.spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def ingest_files(stream: DataFrame, table: str, progress: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Clean every batch of files, store it under its batch id, and append progress rows."""
 

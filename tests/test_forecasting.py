@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.forecasting import closed_form, registry, regression, trees
+from shelfcast.forecasting import closed_form, evaluation, registry, regression, trees
 from shelfcast.operators import features
 
 H = 14
@@ -207,6 +207,35 @@ def test_routing(demand):
     assert {r.unique_id: r.model for r in out.collect()} == got
 
 
+def test_user_model_in_walk_forward_and_routing(demand, monkeypatch):
+    """A model of plain functions equals the built-in mean, alone, by fold and behind the router."""
+    _, df = demand
+    monkeypatch.setattr(registry, "_MODELS", dict(registry._MODELS))
+    own = registry.series_model(lambda rows: rows["y"].tail(30).mean(), lambda level, horizon: [level] * horizon, lookback=30)
+    registry.register("own_mean", own)
+    want = paths(closed_form.naive(df, H))
+    for uid, p in paths(registry.create("own_mean")(df, H)).items():
+        np.testing.assert_allclose(p, want[uid])
+    regular = df.where("unique_id like 'regular%'")
+    a, b = (evaluation.walk_forward(regular, m, horizon=7, windows=2, step=20).orderBy("fold").collect() for m in (own, closed_form.naive))
+    assert len(a) == len(b) == 2
+    np.testing.assert_allclose([r["mape"] for r in a], [r["mape"] for r in b])
+    routed = registry.routed_forecast(df, H, models={"lightgbm": own})
+    got = paths(routed.where("model = 'lightgbm'").drop("model"))
+    assert got and all(np.allclose(p, want[uid]) for uid, p in got.items())
+    with pytest.raises(Exception, match="more than 5"):
+        registry.series_model(lambda rows: 0.0, lambda m, h: [m] * h, most_rows=5)(df, H).collect()
+
+
+def test_registered_feature_group(demand):
+    _, df = demand
+    features.register_group("weekend", lambda d: d.select("unique_id", "ds", (F.weekday("ds") >= 5).alias("weekend")))
+    out = features.feature_table(df, groups=["weekend"])
+    assert out.where("weekend <> (day_of_week >= 5)").count() == 0 and out.count() == df.count()
+    with pytest.raises(ValueError, match="Unknown feature groups"):
+        features.feature_table(df, groups=["nope"])
+
+
 def test_bands_and_stale(demand):
     pdf, df = demand
     base = closed_form.naive(df, 2)

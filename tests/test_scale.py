@@ -44,7 +44,9 @@ def test_global_running_total(skewed):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_exact_quantiles(skewed, by):
+@pytest.mark.parametrize("packed", [100_000, 0])
+def test_exact_quantiles(skewed, by, packed, monkeypatch):
+    monkeypatch.setattr(scale, "PACKED", packed)
     pdf, df = skewed
     probs = {"p0": 0.0, "p1": 0.01, "q1": 0.25, "m": 0.5, "q3": 0.75, "p99": 0.99, "p100": 1.0}
     out = scale.exact_quantiles(df, F.col("v"), probs, by).toPandas()

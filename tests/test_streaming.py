@@ -1,6 +1,7 @@
 """Streaming jobs: restarts neither lose nor repeat rows, and state survives between batches."""
 
 import datetime as dt
+import os
 import random
 import time
 
@@ -158,3 +159,45 @@ def test_lookup_reads_the_state(rocks, tmp_path):
     found = {r.unique_id: (r.ds.day, r.y) for r in state.lookup(rocks, str(tmp_path / "ckpt")).collect()}
     assert found == {"a": (5, 5.0), "b": (2, 7.0)}
     assert [r.unique_id for r in state.lookup(rocks, str(tmp_path / "ckpt"), ["b"]).collect()] == ["b"]
+
+
+def test_finished_files_go_and_old_ones_are_swept(spark, dirty, tmp_path):
+    inbox, table, progress, ckpt = (str(tmp_path / n) for n in ("in", "table", "progress", "ckpt"))
+    for n in range(3):
+        dirty.limit(2).coalesce(1).write.mode("append").option("header", True).csv(inbox)
+        jobs.ingest_files(jobs.feed_stream(spark, inbox, delete=True), table, progress, ckpt).awaitTermination()
+    # A finished file is deleted when a later batch begins, so only the newest may still be there.
+    for _ in range(50):
+        left = list((tmp_path / "in").glob("part-*"))
+        if len(left) <= 1:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1 and spark.read.parquet(table).count() == 6
+    folder = tmp_path / "staged"
+    folder.mkdir()
+    for name in ("old.csv", "young.csv", "_hidden"):
+        (folder / name).write_text("x")
+    now = time.time()
+    os.utime(folder / "old.csv", (now - 1000, now - 1000))
+    os.utime(folder / "_hidden", (now - 1000, now - 1000))
+    gone = jobs.sweep(spark, str(folder), 600)
+    assert [g.rsplit("/", 1)[1] for g in gone] == ["old.csv"] and sorted(p.name for p in folder.iterdir() if not p.name.endswith(".crc")) == ["_hidden", "young.csv"]
+    assert jobs.sweep(spark, str(tmp_path / "none"), 1) == []
+
+
+def test_listener_appends_a_row_per_batch(spark, dirty, tmp_path):
+    inbox, rows = str(tmp_path / "in"), str(tmp_path / "rows")
+    dirty.repartition(3).write.option("header", True).csv(inbox)
+    listener = jobs.ProgressRows(spark, rows)
+    spark.streams.addListener(listener)
+    try:
+        stream = jobs.feed_stream(spark, inbox, max_files=1)
+        jobs.ingest_files(stream, str(tmp_path / "table"), str(tmp_path / "progress"), str(tmp_path / "ckpt")).awaitTermination()
+        for _ in range(100):
+            if os.path.isdir(rows) and spark.read.parquet(rows).where("rows > 0").count() == 3:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    got = spark.read.parquet(rows).where("rows > 0").collect()
+    assert len(got) == 3 == len({r["batch"] for r in got}) and all(r["duration_ms"] > 0 for r in got)
