@@ -30,6 +30,17 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
 
 
+def small_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+    """``df``, after bounding how many rows its session hands to Python at a time: texts can be long.
+
+    The setting stays for later queries of the session, where it changes no result; a smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def boxed(df: DataFrame, *extra: Column) -> DataFrame:
     """The whole row as one struct ``row`` beside computed columns, so no column name of the input can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)

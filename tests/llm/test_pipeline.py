@@ -6,7 +6,6 @@ from shelfcast.llm import toxicity
 from tests.llm.fixtures import awkward, prose, stored
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_mixing import targets
-from tests.llm.test_simhash import brute_components, brute_print
 from tests.llm.test_toxicity import corpus
 
 
@@ -33,12 +32,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     assert Counter(clean) == Counter(r for r in rows if not scores[r[0]]) and len(clean) < len(rows)
     want = brute_lines(clean)
     assert Counter((i, t) for i, t, _ in lined) == Counter((i, want[(False, i, t or "")]) for i, t, _ in clean)
-    prints = [brute_print(t) for _, t, _ in lined]
-    root = brute_components(prints)
-    least = {}
-    for (i, _, _), r in zip(lined, root, strict=True):
-        least[r] = min(least.get(r, i), i)
-    assert Counter(i for i, _, _ in single) == Counter(set(least.values()))
+    assert Counter(i for i, _, _ in single) == Counter(representatives(lined))
     sizes, taken, largest = Counter(), Counter(), Counter()
     for _, t, s in single:
         sizes[s] += len(t.split())
@@ -53,6 +47,29 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     assert max(r["offset"] + r["length"] for r in packed) <= 2048
 
 
+def representatives(rows, words=5, similarity=0.8):
+    """The smallest id of every group linked by the similarity of five-word runs, pair by pair."""
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and len(a & b) >= similarity * len(a | b)):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return set(least.values())
+
+
 def test_run_gives_the_last_stage(spark, tmp_path):
     rows, labels = corpus(60)
     stored(spark, rows, tmp_path)
