@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.llm.bitmap import marks, maybe
 from shelfcast.llm.common import text_of, without_spaces
 from shelfcast.session import pin, work_folder
 
@@ -94,7 +95,11 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     entries = pin(read_state(spark, state), "exact-state")
     rows = keyed(schema_only, digest)
 
-    hits = pin(rows.join(entries.where("n > 1"), "digest").select("digest", "first", "normal", "best"), "exact-hits")
+    # Only rows whose digest may occur more than once carry their bytes into the shuffle.
+    several = entries.where("n > 1")
+    known = marks(several.select(F.xxhash64("digest").alias("mark")), "mark")
+    sifted = maybe(rows.withColumn("mark", F.xxhash64("digest")), "mark", known)
+    hits = pin(sifted.join(several, "digest").select("digest", "first", "normal", "best"), "exact-hits")
     stays = hits.where(F.col("first") == F.col("best")).select("digest", F.col("normal").alias("stays"))
     differ = hits.join(stays, "digest").where(F.col("normal") != F.col("stays")).select("digest", "first", "normal")
 
