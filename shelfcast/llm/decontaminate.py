@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfcast.llm.common import spread_join
+from shelfcast.llm.common import small_batches, spread_join
 from shelfcast.llm.tokens import slices
 from shelfcast.session import pin
 
@@ -115,10 +115,10 @@ def keys(words: Words, short: list[int], span: int, run: int) -> Iterator[tuple[
 
 
 class Sift:
-    """A bitmap of the benchmark's hashes: what it does not know is not there. 16 bits for each hash, 16 MB at most."""
+    """A bitmap of the benchmark's hashes: what it does not know is not there. 512 bits for each hash, 16 MB at most."""
 
     def __init__(self, runs: DataFrame):
-        self.depth = min(27, max(16, (16 * runs.count()).bit_length()))
+        self.depth = min(27, max(16, (512 * runs.count()).bit_length()))
         segment = F.shiftrightunsigned("hash", 64 - (self.depth - 6))
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("hash", 64 - self.depth).bitwiseAND(F.lit(63)).cast("int"))
         held = runs.groupBy(segment.alias("segment")).agg(F.bit_or(bit).alias("bits")).toPandas()
@@ -183,7 +183,7 @@ def corpus_runs(docs: DataFrame, sift: Sift, short: list[int], span: int = SPAN,
                         hits[t].append((i - int(first[t]), whole, k, h, *around(words, i, k, first[t], first[t + 1], 0 if whole else span - run)))
                 yield pd.DataFrame({"row": rows[a:b], "doc_id": ids[a:b], "n_words": np.diff(first), "hits": hits})
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = ",".join(x.strip().replace(" ", ":", 1) for x in f"at int, {CONTEXT_TYPES}".split(","))
     return source.mapInPandas(cut, f"row long, doc_id long, n_words long, hits array<struct<{hit}>>")
 
