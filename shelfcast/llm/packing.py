@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm.common import small_batches
 from shelfcast.llm.tokens import encoder, slices
+from shelfcast.session import pin
 
+#: Ids handed on at a time.
+FRAME_BYTES = 4 << 20
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -79,35 +83,47 @@ def pieces(docs: DataFrame, vocabulary: str, width: int, end_id: int, with_ids:
         enc, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows, ids, texts = batch["row"].tolist(), batch["doc_id"].tolist(), batch["text"].fillna("").tolist()
+            out, held = [], 0
+
+            def frame(out: list[tuple]) -> pd.DataFrame:
+                made = pd.DataFrame(out, columns=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                made["doc_id"] = made["doc_id"].astype("Int64")
+                return made
+
             for a, b in slices(texts):
-                out = []
                 for row, doc, data in zip(rows[a:b], ids[a:b], enc.encode(texts[a:b]), strict=True):
                     data += end
                     total = len(data) // 4
                     for start in range(0, total, width):
                         part = data[4 * start : 4 * (start + width)]
                         out.append((row, doc, start, len(part) // 4, zlib.crc32(part), total, part if with_ids else None))
-                frame = pd.DataFrame(out, columns=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+                        held += len(part) if with_ids else 100
+                        if held > FRAME_BYTES:
+                            yield frame(out)
+                            out, held = [], 0
+            if out:
+                yield frame(out)
+
+    source = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInPandas(cut, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 1, shard_docs: int = 8192, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 1, shard_docs: int = 4096, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    A document is its ids and ``end_id``; documents longer than ``width`` are first cut into full windows and a rest.
-    Pieces are dealt by a hash of row number and start into shards of about ``shard_docs`` documents, whatever their
-    ids or sources, and each shard packs its pieces best-fit decreasing: longest first, each into the open window with
-    the least room that fits, found in a segment tree over capacities. A shard's padding is at most a few windows, so
-    a bounded shard costs next to nothing against packing all at once. ``sequence_id`` is unique over shards.
+    A document is its ids and ``end_id``; documents longer than ``width`` are first cut into full windows and a rest. A full
+    window is a sequence of its own. Rests are dealt by a hash of row number and start into shards of about ``shard_docs``,
+    whatever their ids or sources, and each shard packs its rests best-fit decreasing: longest first, each into the open
+    window with the least room that fits, found in a segment tree over capacities. A shard's padding is at most a few
+    windows, so a bounded shard costs next to nothing against packing all at once. A shard holds less than ``shard_docs``
+    windows, 32 MB by default, however long the documents are. ``sequence_id`` is unique over shards and full windows.
 
     A null text is empty: its document is ``end_id`` alone. A null doc_id stays null. Repeated rows are packed each. An
     empty table gives no rows. Extra columns are not read. ``ids`` are little-endian 32-bit, null unless ``with_ids``.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
+    cut = pin(pieces(docs, vocabulary, width, end_id, with_ids), "pieces")
+    rests = cut.where(F.col("length") < width)
+    shards = max(1, -(-rests.count() // shard_docs))
 
     def place(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "row", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
@@ -115,5 +131,8 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 1, s
         part["sequence_id"], part["offset"] = (int(key[0]) << 32) + window, offset
         return part[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]]
 
-    dealt = pieces(docs, vocabulary, width, end_id, with_ids).withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, PLACED)
+    placed = rests.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards))).groupBy("shard").applyInPandas(place, PLACED)
+    # Numbers of full windows lie above those of all shards; the stored table fixes them.
+    own = (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id")
+    full = cut.where(F.col("length") == width).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", own, F.lit(0).cast("long").alias("offset"), "ids")
+    return full.unionByName(placed)

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfcast.llm.common import small_batches
 from shelfcast.session import pin
 
-#: Words kept per Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_BYTES = 800_000, 48
+#: Bytes of words and ids kept per Python worker, as Python holds them, and the longest word kept.
+CACHE_BYTES, LONGEST = 64 << 20, 48
+_ENTRY = 200
 _MARKS = re.compile(rb"(?=[.,;:!?])(?<=[a-z0-9])")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -32,6 +34,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         if not words:
@@ -47,16 +50,18 @@ class WordEncoder:
         for text in texts:
             raw = text.encode("utf-8", "replace")
             parts.append((raw if b"<|" in raw else _MARKS.sub(b" ", raw.lower())).split())
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        seen = set()
-        for p in parts:
-            seen.update(p)
-        fresh = self.learn([w for w in seen if w not in self.known])
-        rare = {w: v for w, v in fresh.items() if len(w) > CACHE_BYTES}
-        self.known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_BYTES)
-        find = {**self.known, **rare}.__getitem__ if rare else self.known.__getitem__
-        return [b"".join(map(find, p)) for p in parts]
+        known = self.known
+        fresh = self.learn([w for w in set().union(*parts) if w not in known])
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for w, ids in fresh.items():
+            if len(w) > LONGEST:
+                del known[w]
+            else:
+                self.held += _ENTRY + len(w) + len(ids)
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -69,7 +74,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most ``most`` characters together, or a single longer text."""
     start, total = 0, 0
     for i, t in enumerate(texts):
@@ -91,7 +96,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
             for a, b in slices(texts):
                 yield pd.DataFrame({"length": [len(x) // 4 for x in enc.encode(texts[a:b])]}, dtype="int64")
 
-    return docs.select("text").mapInPandas(measure, "length long")
+    return small_batches(docs).select("text").mapInPandas(measure, "length long")
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, block: int = 1024) -> DataFrame:
