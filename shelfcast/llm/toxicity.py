@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfcast.llm.common import small_batches
 from shelfcast.llm.tokens import slices
 
 #: Words kept per Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 200_000, 48
+#: Tokens of whole documents that the fit holds marginals of at a time.
+PART = 100_000
 _EDGE = b".,;:!?\"'()[]{}<>*#%&$|"
 
 
@@ -114,12 +117,15 @@ class Tagger:
     def emissions(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, weight = self.known, self.weights.get
-        fresh = {x: sum(weight(f, 0.0) for f in features(x)) for x in set(words).difference(known)}
-        rare = {x: e for x, e in fresh.items() if len(x) > CACHE_BYTES}
-        known.update((x, e) for x, e in fresh.items() if len(x) <= CACHE_BYTES)
-        find = {**known, **rare}.__getitem__ if rare else known.__getitem__
-        return np.fromiter(map(find, words), float, len(words))
+        known, weight, found = self.known, self.weights.get, {}
+        for x in set(words):
+            e = known.get(x)
+            if e is None:
+                e = sum(weight(f, 0.0) for f in features(x))
+                if len(x) <= CACHE_BYTES:
+                    known[x] = e
+            found[x] = e
+        return np.fromiter(map(found.__getitem__, words), float, len(words))
 
     def tag(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         """Marginals of every token of every document."""
@@ -212,18 +218,29 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.5,
     inner = np.flatnonzero(~first)
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
+    del inner
     trans, begin, w = np.zeros((2, 2)), -3.0, np.zeros(size)
     w[number["all"]] = math.log((y.sum() + 1) / (len(y) + 1))
     seen_w, seen_t, seen_b = np.full(size, 1e-8), np.full((2, 2), 1e-8), 1e-8
+    # Chains are independent, so whole documents go through in parts and only sums stay.
+    ends = np.cumsum(counts)
+    borders = [0, *ends[np.flatnonzero(np.diff(ends // PART))].tolist(), len(y)]
     for _ in range(rounds):
-        emission = np.bincount(word_of, weights=w[feature], minlength=word_count)[token]
-        alpha, beta, p = marginals(emission, first, trans, begin)
-        grad_word = np.bincount(token, weights=y - p, minlength=word_count)
+        score = np.bincount(word_of, weights=w[feature], minlength=word_count)
+        grad_word, joint, grad_b = np.zeros(word_count), np.zeros((2, 2)), 0.0
+        for low, high in zip(borders, borders[1:], strict=False):
+            if low == high:
+                continue
+            emission, start = score[token[low:high]], first[low:high]
+            alpha, beta, p = marginals(emission, start, trans, begin)
+            grad_word += np.bincount(token[low:high], weights=y[low:high] - p, minlength=word_count)
+            inner = np.flatnonzero(~start)
+            after = potentials(emission[inner]) * beta[:, inner]
+            both = alpha[:, None, inner - 1] * np.exp(trans)[:, :, None] * after[None]
+            joint += (both / both.sum(axis=(0, 1))).sum(axis=2)
+            grad_b += float((y[low:high][start] - p[start]).sum())
         grad = np.bincount(feature, weights=grad_word[word_of], minlength=size) - l2 * len(y) * w
-        after = potentials(emission[inner]) * beta[:, inner]
-        joint = alpha[:, None, inner - 1] * np.exp(trans)[:, :, None] * after[None]
-        joint = (joint / joint.sum(axis=(0, 1))).sum(axis=2)
-        grad_t, grad_b = pairs - joint, float((y[first] - p[first]).sum())
+        grad_t = pairs - joint
         seen_w, seen_t, seen_b = seen_w + grad**2, seen_t + grad_t**2, seen_b + grad_b**2
         w = w + rate * grad / np.sqrt(seen_w)
         trans = trans + rate * grad_t / np.sqrt(seen_t)
@@ -307,7 +324,7 @@ def scorer(tagger: Tagger, threshold: float = 0.5):
     @F.pandas_udf(kind)
     def run(column: pd.Series) -> pd.DataFrame:
         texts, out = column.fillna("").tolist(), []
-        for a, b in slices(texts, 2_000_000):
+        for a, b in slices(texts, 500_000):
             docs = [t.encode("utf-8", "replace").split() for t in texts[a:b]]
             for text, p in zip(texts[a:b], tagger.tag(docs), strict=True):
                 out.append((tagger.score(p), offsets(text, p, threshold) if len(p) and p.max() >= threshold else ""))
@@ -327,7 +344,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 1000, longes
     Without any toxic training row all scores are low. Duplicate labels of an id count as toxic if any does. Repeated
     rows score alike, an empty table gives no rows, other columns are not read, long texts are scored whole.
     """
-    tagger = train(docs, labels, most, longest)
+    tagger = train(small_batches(docs), labels, most, longest)
     held = fold() == 0
     out = docs.select("doc_id", held.alias("held_out"), scorer(tagger)("text").alias("tox"))
     return out.select("doc_id", "held_out", F.col("tox.score").alias("score"), F.when(F.col("tox.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("tox.spans").alias("spans"))
@@ -335,5 +352,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 1000, longes
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: int = 1000, longest: int = 6000) -> DataFrame:
     """``docs`` without the rows that ``score_documents`` predicts to be toxic."""
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(train(docs, labels, most, longest))("text").alias("tox"))
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(train(small_batches(docs), labels, most, longest))("text").alias("tox"))
     return scored.where(F.col("tox.score") < 0.5).select("row.*")
