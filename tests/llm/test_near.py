@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfcast.llm import near
+from shelfcast.llm.simhash import shingle_hashes
 from tests.llm.fixtures import awkward, frame
 
 
@@ -80,5 +82,36 @@ def test_recall_of_bands():
     assert hit == 300
 
 
+def test_radius_holds_similar_pairs():
+    """Pairs at similarity 0.8 to 0.83, of texts with 24 to 204 runs: the default radius holds all fingerprints."""
+    rng, far = random.Random(4), []
+    for _ in range(600):
+        size = rng.choice([28, 54, 104, 208])
+        base = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        other = base + [f"x{rng.randrange(10**9)}" for _ in range((size - 4) // 4)]
+        a, b = (near.print_of(np.unique(shingle_hashes(" ".join(w), 5))) for w in (base, other))
+        far.append(((a ^ b) & (2**64 - 1)).bit_count())
+    assert max(far) <= 26 and sum(far) / len(far) > 5
+
+
+def test_overlaps_equal_set_intersections():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 4000, rng.integers(1, 50))) for k in range(70)]
+    got = near.overlaps(sets, often=5, width=7)
+    for i in range(70):
+        for j in range(70):
+            assert i == j or got[i, j] == len(set(sets[i]) & set(sets[j]))
+
+
+def test_tiles_of_a_bucket_miss_no_link(spark):
+    """Variants of one text that are pairwise below and above 0.8, in tiles of a few nodes."""
+    rng = random.Random(8)
+    base = [f"g{i}" for i in range(150)]
+    rows = sorted({(i, " ".join(edited(rng, base, rng.randrange(3, 9))), "c") for i in range(150)})
+    docs = near.keyed(frame(spark, rows))
+    found = near.components(docs, most=2000, tile=8).groupBy("root").agg(F.min("id").alias("id")).collect()
+    assert sorted(r["id"] for r in found) == [r[0] for r in kept_by_brute_force(rows)]
+
+
 def test_empty_table(spark):
     assert near.keep_one(frame(spark, [])).count() == 0
