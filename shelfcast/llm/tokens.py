@@ -17,7 +17,7 @@ from shelfcast.session import pin
 #: Bytes of words and ids kept per Python worker, as Python holds them, and the longest word kept.
 CACHE_BYTES, LONGEST = 64 << 20, 48
 _ENTRY = 200
-_MARKS = re.compile(rb"(?=[.,;:!?])(?<=[a-z0-9])")
+_MARKS = re.compile(rb"[.,;:!?](?<=[a-z0-9].)")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -34,6 +34,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -49,9 +50,11 @@ class WordEncoder:
         parts = []
         for text in texts:
             raw = text.encode("utf-8", "replace")
-            parts.append((raw if b"<|" in raw else _MARKS.sub(b" ", raw.lower())).split())
-        known = self.known
-        fresh = self.learn([w for w in set().union(*parts) if w not in known])
+            parts.append((raw if b"<|" in raw else _MARKS.sub(rb" \g<0>", raw.lower())).split())
+        known, older = self.known, self.older
+        new = [w for w in set().union(*parts) if w not in known]
+        fresh = {w: older[w] for w in new if w in older}
+        fresh |= self.learn([w for w in new if w not in older])
         known.update(fresh)
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for w, ids in fresh.items():
@@ -59,8 +62,9 @@ class WordEncoder:
                 del known[w]
             else:
                 self.held += _ENTRY + len(w) + len(ids)
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > CACHE_BYTES // 2:
+            # Words that are met again come back from the older half, the others go with it.
+            self.known, self.older, self.held = {}, known, 0
         return out
 
 
