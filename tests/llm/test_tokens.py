@@ -28,6 +28,20 @@ def test_encoder_equals_the_tokenizer(whole):
         assert [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)] == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_words_need_merges_only(whole):
+    rng = random.Random(6)
+    letters, marks = "abcxyzABCXYZàéßöøÿÀÉÞ0189", "!\"#$%&()*+,-./:;=>?@[]^_`{|}~"
+    words = sorted({"".join(rng.choices(letters + marks, k=rng.randint(1, 12))).encode() for _ in range(3000)})
+    enc, others = tokens.WordEncoder(vocabulary()), []
+    by_tokenizer = enc.whole
+    enc.whole = lambda rest: others.extend(rest) or by_tokenizer(rest)
+    odd = ["don't", "x<|endoftext|>", "日本", "ª", "e\u0301", "=\u0338", "µm", "a÷b"]
+    got = enc.learn(words + [w.encode() for w in odd])
+    assert sorted(others) == sorted(w.encode() for w in odd) and set(got) == set(words) | set(others)
+    for w, ids in got.items():
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == whole.encode(w.decode(), add_special_tokens=False).ids, w
+
+
 def test_histogram(spark, whole):
     rows = awkward() + [(500 + i, t, "a") for i, t in enumerate(TRICKY)]
     lengths = [len(whole.encode(t or "", add_special_tokens=False).ids) for _, t, _ in rows]
