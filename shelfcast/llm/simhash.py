@@ -78,7 +78,7 @@ def close_lanes(prints: np.ndarray, planes: np.ndarray, word: np.ndarray, mask:
     """For every job (one print against one word of 64 lanes): the lanes of ``mask`` within ``radius`` bits.
 
     Planes enter three at a time through a carry-save adder into bit-sliced counters, so one operation moves 64
-    distances. Jobs whose lanes are all beyond the radius are abandoned after every six planes.
+    distances. After every six planes each job whose lanes are all beyond the radius is abandoned.
     Returns the surviving jobs' numbers and lane masks.
     """
     jobs = np.arange(len(prints))
@@ -102,7 +102,7 @@ def close_lanes(prints: np.ndarray, planes: np.ndarray, word: np.ndarray, mask:
         if k % 6 == 3 or k + 3 >= 64:
             near = ~beyond(counters, over, radius) & mask
             alive = np.flatnonzero(near)
-            if len(alive) < 0.8 * len(jobs) or k + 3 >= 64:
+            if len(alive) < len(jobs) or k + 3 >= 64:
                 jobs, prints, word, mask, over = jobs[alive], prints[alive], word[alive], mask[alive], over[alive]
                 counters = [c[alive] for c in counters]
                 near = near[alive]
@@ -111,22 +111,40 @@ def close_lanes(prints: np.ndarray, planes: np.ndarray, word: np.ndarray, mask:
     return (jobs, near) if len(jobs) else (jobs, np.empty(0, np.uint64))
 
 
-def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int, most_jobs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (i < j) of close prints within consecutive groups of the given sizes."""
+def lanes_of(prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive groups of prints laid out in words of 64 lanes, a group from a word of its own on.
+
+    Returns the lane of each print, the row number in each lane (-1: none), and masks of used lanes and bit planes by word.
+    """
     words = -(-sizes // 64)
-    first_word, first_row = np.cumsum(words) - words, np.cumsum(sizes) - sizes
     group = np.repeat(np.arange(len(sizes)), sizes)
-    within = np.arange(len(prints)) - first_row[group]
-    lane_at = first_word[group] * 64 + within
+    lane_at = (np.cumsum(words) - words)[group] * 64 + np.arange(len(prints)) - (np.cumsum(sizes) - sizes)[group]
     laid = np.zeros(int(words.sum()) * 64, np.uint64)
     laid[lane_at] = prints
     row_of = np.full(len(laid), -1, np.int64)
     row_of[lane_at] = np.arange(len(prints))
     valid = np.packbits((row_of >= 0).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
-    planes = planes_of(laid.reshape(-1, 64))
+    return lane_at, row_of, valid, planes_of(laid.reshape(-1, 64))
+
+
+def close_to(centres: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Row numbers of the prints close to the centre of their group; groups are consecutive and have the given sizes."""
+    _, row_of, valid, planes = lanes_of(prints, sizes)
+    jobs, near = close_lanes(np.repeat(centres, -(-sizes // 64)), planes, np.arange(len(valid)), valid, radius)
+    if not len(jobs):
+        return jobs
+    hit, bit = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return row_of[jobs[hit] * 64 + bit]
+
+
+def close_pairs(prints: np.ndarray, sizes: np.ndarray, radius: int, most_jobs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i < j) of close prints within consecutive groups of the given sizes."""
+    words = -(-sizes // 64)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    lane_at, row_of, valid, planes = lanes_of(prints, sizes)
     own_word, lane = lane_at // 64, (lane_at % 64).astype(np.uint64)
     # A row meets its own word, from the next lane on, and the later words of its group.
-    reach = first_word[group] + words[group] - own_word
+    reach = np.cumsum(words)[group] - own_word
     ends = np.cumsum(reach)
     done = 0
     while done < len(prints):

@@ -113,5 +113,26 @@ def test_tiles_of_a_bucket_miss_no_link(spark):
     assert sorted(r["id"] for r in found) == [r[0] for r in kept_by_brute_force(rows)]
 
 
+def test_every_link_passes_the_bit_sliced_comparison(spark):
+    """Links of a bucket's smallest node, too, are found by fingerprints and then confirmed exactly."""
+    rng = random.Random(9)
+    base = [f"s{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, base, min(i, 2))), "c") for i in range(90)]
+    prints = [near.print_of(np.unique(shingle_hashes(t, 5))) for _, t, _ in rows]
+    docs = near.keyed(frame(spark, rows))
+    assert near.components(docs).select("root").distinct().count() == len(kept_by_brute_force(rows)) == 1
+    assert near.components(docs, radius=0).select("root").distinct().count() == len(set(prints)) > 1
+
+
+def test_short_texts_stay_within_the_radius(spark):
+    """Four runs against the same and one more: similarity 0.8, the most bits apart."""
+    rng, rows = random.Random(10), []
+    for g in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * g, " ".join(words[:8]), "a"), (2 * g + 1, " ".join(words), "a")]
+    got = near.keep_one(frame(spark, rows)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 800, 2))
+
+
 def test_empty_table(spark):
     assert near.keep_one(frame(spark, [])).count() == 0

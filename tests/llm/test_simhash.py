@@ -84,6 +84,15 @@ def test_bit_sliced_pairs(radius):
     assert got == want and (radius == 1 or want)
 
 
+@pytest.mark.parametrize("radius", [0, 4, 30])
+def test_bit_sliced_star(radius):
+    prints = np.array(clustered(400), dtype=np.uint64)
+    sizes = np.array([1, 63, 64, 65, 2, 205])
+    first = np.cumsum(sizes) - sizes
+    far = np.bitwise_count(prints ^ np.repeat(prints[first], sizes))
+    assert sorted(simhash.close_to(prints[first], prints, sizes, radius)) == np.flatnonzero(far <= radius).tolist()
+
+
 @pytest.mark.parametrize(("bands", "tile"), [(5, 2048), (6, 8), (8, 2048)])
 def test_links_connect_the_same(spark, bands, tile):
     prints = clustered(300, seed=2)
