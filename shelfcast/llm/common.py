@@ -30,14 +30,17 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
 
 
-def small_batches(df: DataFrame, most: int = 1000) -> DataFrame:
-    """``df``, after bounding how many rows its session hands to Python at a time: texts can be long.
+def small_batches(df: DataFrame, most: int = 1000, most_bytes: int = 1 << 20) -> DataFrame:
+    """``df``, after bounding how many rows and bytes its session hands to Python at a time: texts can be long.
 
-    The setting stays for later queries of the session, where it changes no result; a smaller one is left as it is.
+    An executor keeps the off-heap buffers of its largest batches. The settings stay for later queries of the session, where
+    they change no result; smaller ones are left as they are.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
-        df.sparkSession.conf.set(name, str(most))
+    conf, sizes = df.sparkSession.conf, df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    for name, bound in (("maxRecordsPerBatch", most), ("maxBytesPerBatch", most_bytes)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < sizes.byteStringAsBytes(conf.get(name)) <= bound:
+            conf.set(name, str(bound))
     return df
 
 

@@ -15,9 +15,9 @@ from shelfcast.llm.tokens import encoder, slices
 from shelfcast.session import pin
 
 #: Ids handed on at a time.
-FRAME_BYTES = 4 << 20
+FRAME_BYTES = 1 << 20
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PLACED = "row long, start long, sequence_id long, offset long"
 
 
 class TightestWindow:
@@ -115,8 +115,8 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 1, s
     window is a sequence of its own. Rests are dealt by a hash of row number and start into shards of about ``shard_docs``,
     whatever their ids or sources, and each shard packs its rests best-fit decreasing: longest first, each into the open
     window with the least room that fits, found in a segment tree over capacities. A shard's padding is at most a few
-    windows, so a bounded shard costs next to nothing against packing all at once. A shard holds less than ``shard_docs``
-    windows, 32 MB by default, however long the documents are. ``sequence_id`` is unique over shards and full windows.
+    windows, so a bounded shard costs next to nothing against packing all at once. A shard sees lengths only, which its
+    places are joined back to by row number and start. ``sequence_id`` is unique over shards and full windows.
 
     A null text is empty: its document is ``end_id`` alone. A null doc_id stays null. Repeated rows are packed each. An
     empty table gives no rows. Extra columns are not read. ``ids`` are little-endian 32-bit, null unless ``with_ids``.
@@ -129,9 +129,11 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 1, s
         part = part.sort_values(["length", "row", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
         window, offset = best_fit_decreasing(part["length"].to_numpy(), width)
         part["sequence_id"], part["offset"] = (int(key[0]) << 32) + window, offset
-        return part[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]]
+        return part[["row", "start", "sequence_id", "offset"]]
 
-    placed = rests.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards))).groupBy("shard").applyInPandas(place, PLACED)
+    shard = F.pmod(F.xxhash64("row", "start"), F.lit(shards)).alias("shard")
+    places = rests.select(shard, "row", "start", "length").groupBy("shard").applyInPandas(place, PLACED)
+    placed = rests.join(places, ["row", "start"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
     # Numbers of full windows lie above those of all shards; the stored table fixes them.
     own = (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id")
     full = cut.where(F.col("length") == width).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", own, F.lit(0).cast("long").alias("offset"), "ids")

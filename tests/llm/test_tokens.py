@@ -4,6 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from shelfcast.llm import packing, tokens
+from shelfcast.llm.common import small_batches
 from shelfcast.llm.queries import vocabulary
 from tests.llm.fixtures import awkward, frame
 
@@ -115,3 +116,34 @@ def test_packing_round_trip(spark, whole):
     plain = packing.pack(frame(spark, rows), vocabulary(), width=64, shard_docs=30, with_ids=False)
     assert plain.where("ids is not null").count() == 0 and plain.count() == len(got)
     assert packing.pack(frame(spark, []), vocabulary()).count() == 0
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(n=batch["text"].str.len().sum()).loc[:0, ["n"]]
+
+    try:
+        spark.conf.unset(names[0])
+        spark.conf.set(names[1], "64m")
+        rows = spark.range(400, numPartitions=1).selectExpr("repeat('x', 50000) as text")
+        got = [r["n"] for r in small_batches(rows).mapInPandas(sizes, "n long").collect()]
+        assert sum(got) == 400 * 50000 and max(got) <= (1 << 20) + 50000
+        spark.conf.set(names[1], "64k")
+        small_batches(rows)
+        assert spark.conf.get(names[1]) == "64k"
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+def test_shards_are_packed_without_their_ids(spark):
+    made = packing.pack(frame(spark, awkward()), vocabulary(), width=64, shard_docs=30)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    (grouped,) = [line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line]
+    assert "sequence_id" in grouped and "ids#" not in grouped.replace("ids_crc32#", "")
+    keys = [(r["doc_id"], r["sequence_id"], r["offset"]) for r in made.collect()]
+    assert len({k[1:] for k in keys}) == len(keys)
