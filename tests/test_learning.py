@@ -139,6 +139,21 @@ def test_reconstruction_error_matches_projection(cloud):
     np.testing.assert_allclose([got[f"p{i}"] for i in range(len(x))], want, atol=1e-8)
 
 
+def test_loadings_of_either_sign(spark):
+    """The component's sign is turned so that its largest weight is positive, whichever sign the fit gives."""
+    rng = np.random.default_rng(4)
+    for turn in (1.0, -1.0):
+        base = rng.normal(0, 1, 300)
+        x = np.c_[turn * 3 * base, 2 * rng.normal(0, 1, 300), -turn * base + rng.normal(0, 0.1, 300)]
+        for order in ([0, 1, 2], [2, 1, 0]):
+            df = spark.createDataFrame([(Vectors.dense(v),) for v in x[:, order]], ["features"])
+            got = {r.feature: (r.pc1, r.pc2) for r in reduce.loadings(df, names=("a", "b", "c")).collect()}
+            weights = np.array([got[n] for n in "abc"])
+            _, _, vt = np.linalg.svd(x[:, order] - x.mean(axis=0)[order], full_matrices=False)
+            np.testing.assert_allclose(np.abs(weights), np.abs(vt[:2].T), atol=1e-8)
+            assert (weights[np.abs(weights).argmax(axis=0), [0, 1]] > 0).all()
+
+
 def plain_samme(x, y, edges, rounds, classes):
     """Stumps one by one on plain floats: (feature, edge number, classes of both sides, log odds)."""
     w, out = np.ones(len(y)), []
