@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from shelfcast.learning import anomaly, classify, cluster, multipliers, neighbours, prepare, reduce
+from shelfcast.learning import anomaly, classify, cluster, histograms, multipliers, neighbours, perceptron, prepare, reduce
 
 
 @pytest.fixture(scope="module")
@@ -207,6 +208,37 @@ def test_nine_models_cross_validated(spark):
     assert set(scores) == set(models) and scores["Gradient Boosting"] > 0.6 and scores["AdaBoost"] > 0.6
 
 
+def test_perceptron_walks_as_the_library_does(spark):
+    """Packed passes take MLlib's steps, with a short last stack and several partitions."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (700, 4))
+    y = np.digitize(x[:, 0] * x[:, 1] + x[:, 2], [-0.7, 0.7])
+    df = spark.createDataFrame([(Vectors.dense(v), float(c)) for v, c in zip(x, y)], ["features", "label"]).repartition(3).localCheckpoint()
+    for rounds in (0, 1, 25):
+        settings = dict(layers=[4, 9, 5, 3], maxIter=rounds, seed=7)
+        want, got = MultilayerPerceptronClassifier(**settings).fit(df), perceptron.Perceptron(**settings).fit(df)
+        np.testing.assert_allclose(got.weights.toArray(), want.weights.toArray(), rtol=1e-5, atol=1e-6)
+    assert got.transform(df).where("prediction = label").count() > 550
+    far = spark.createDataFrame([(Vectors.dense([1.0] * 4), 3.0)], ["features", "label"])
+    with pytest.raises(Exception, match="below 3"):
+        perceptron.Perceptron(**settings).fit(df.unionByName(far))
+
+
+def test_tree_passes_take_few_tasks(spark):
+    """Many blocks are dealt over as many tasks as run at a time, and give the trees that one block gives."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 1, (3000, 3)), 2)
+    y = np.digitize(x[:, 0] + x[:, 1], [-0.5, 0.6])
+    rows = spark.createDataFrame([(v.tolist(), float(c), i % 2) for i, (v, c) in enumerate(zip(x, y))], ["x", "y", "fold"])
+    found = []
+    for block_rows in (20, 10_000):
+        blocks = histograms.pack(rows, F.col("x"), F.col("y"), [F.lit(True), F.col("fold") == 1], 3, block_rows=block_rows)
+        assert histograms.blocks_parts(blocks.frame) <= 2 * spark.sparkContext.defaultParallelism
+        found.append(histograms.grow(blocks, histograms.Logistic(blocks, [0, 1], 0.1), 4, 3))
+    for a, b in zip(found[0].leaf, found[1].leaf):
+        np.testing.assert_array_equal(a, b)
+
+
 def test_stumps_learn(cloud):
     _, _, df = cloud
     model = classify.SteppedTrees(rounds=6, depth=2).fit(df)
