@@ -1,12 +1,13 @@
 """Learning operators against brute force and invariants."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from shelfcast.learning import anomaly, classify, cluster, histograms, multipliers, neighbours, perceptron, prepare, reduce
+from shelfcast.learning import anomaly, classify, cluster, histograms, metric, multipliers, neighbours, perceptron, prepare, reduce
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,21 @@ def test_index_measures_few_pairs(spark):
     assert max(shares) <= 0.1 and shares[1] <= shares[0] * 1.5
 
 
+def test_cells_grow_with_the_rows(spark):
+    """Beyond 512 cells their number still grows, and a query is handed on to few cells besides its own."""
+    rng = np.random.default_rng(8)
+    n = 300_000
+    frame = pd.DataFrame({"key": [f"p{i:06d}" for i in range(n)], "x": list(rng.uniform(0, 1, (n, 2)))})
+    points = spark.createDataFrame(frame)
+    index = metric.build(points)
+    assert 512 < len(index.centres) <= n**0.5 and index.count.sum() == n
+    asked = metric.asking(index, points.limit(500), lambda d, part: np.isfinite(d), lambda part: np.full(len(part), 0.01))
+    found = asked.collect()
+    assert 500 <= len(found) <= 500 * 8
+    for r in found[:200]:
+        assert index.outside(np.array([r["x"]]), np.array([r["cell"]]))[0] <= 0.0101
+
+
 def test_neighbours_of_awkward_tables(spark, cloud):
     _, _, df = cloud
     same = spark.createDataFrame([(f"s{i}", Vectors.dense([1.0, 1.0]), 0.0) for i in range(50)], ["Product_ID", "features", "label"])
