@@ -119,6 +119,24 @@ def test_density_clusters_equal_brute_force(spark):
     assert len(set(names.values())) == len(names) > 1 and (want == -1).any()
 
 
+def test_dense_balls_ask_few_cells(spark, monkeypatch):
+    """Crowds, a bridge between two of them, thin spots and noise: brute force's clusters, without asking around for each point."""
+    rng = np.random.default_rng(13)
+    crowds = [rng.normal(c, 0.25, (900, 3)) for c in (0.0, 6.0, 14.0)]
+    bridge = np.linspace([1.0] * 3, [5.0] * 3, 25) + rng.normal(0, 0.05, (25, 3))
+    x = np.r_[crowds[0], crowds[1], crowds[2], bridge, rng.uniform(-6, 20, (250, 3)), np.repeat([[19.0, -5.0, 3.0]], 12, axis=0)]
+    df = spark.createDataFrame([(f"p{i:05d}", Vectors.dense(v)) for i, v in enumerate(x)], ["Product_ID", "features"])
+    asked, plain = [], cluster.meet
+    monkeypatch.setattr(cluster, "meet", lambda index, requests, *a: (asked.append(requests.count()), plain(index, requests, *a))[1])
+    got = {r["Product_ID"]: r["cluster"] for r in cluster.density_clusters(df, eps=0.9, min_points=8, tile=400).collect()}
+    want, names = brute_density(x, 0.9, 8), {}
+    for i, w in enumerate(want):
+        c = got[f"p{i:05d}"]
+        assert (c == -1) == (w == -1) and (w == -1 or names.setdefault(w, c) == c)
+    assert len(set(names.values())) == len(names) > 1 and (want == -1).any()
+    assert sum(asked) <= 1.5 * len(x)
+
+
 def test_density_clusters(cloud):
     _, label, df = cloud
     out = {r.Product_ID: r.cluster for r in cluster.density_clusters(df, eps=2.0, min_points=10).collect()}
